@@ -275,5 +275,6 @@ def personal_data(docs: DataFrame, weights: dict[str, float] | None = None) -> D
 def digest(found: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Counts of base spans for each kind, the SHA-256 of the base spans and all spans, joined."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in kinds]
     return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
