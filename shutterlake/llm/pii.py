@@ -220,7 +220,8 @@ def train(docs: DataFrame) -> dict[str, float]:
 
     def snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"snippet": [t[a:b] for t in batch["text"] if t for a, b in islands(t) if b - a <= 240]})
+            if found := [t[a:b] for t in batch["text"] if t for a, b in islands(t) if b - a <= 240]:
+                yield pd.DataFrame({"snippet": found})  # an empty column of strings has no Arrow chunk
 
     got = some.mapInPandas(snippets, "snippet string").distinct().orderBy(F.xxhash64("snippet"), "snippet").limit(TRAIN_SNIPPETS)
     texts = sorted(r[0] for r in got.collect())

@@ -201,7 +201,8 @@ def _phrases(kept: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
                     before = f[:a].rsplit(" ", 1)[-1]
                     if before:
                         rows.add((n, y, f"{before} {f[a + 1 : end]}"))
-            yield pd.DataFrame([(p, y) for _, y, p in rows], columns=["phrase", "y"])
+            if rows:
+                yield pd.DataFrame([(p, y) for _, y, p in rows], columns=["phrase", "y"])
 
     counts = kept.select("y", "folded").mapInPandas(seen, "phrase string, y int").groupBy("phrase").agg(F.sum(F.lit(1) - F.col("y")).alias("n"), F.sum("y").alias("p"))
     return tuple(r["phrase"] for r in counts.where("n >= 3 and p = 0").orderBy(F.desc("n"), "phrase").limit(200).collect())
