@@ -12,7 +12,9 @@ stretch is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 from pathlib import Path
@@ -34,8 +36,42 @@ PARTS, PART_ROWS = 256, 200_000
 TOKENS = "doc_id long, n long, crc long, chunk_crcs array<long>, tail_crc long"
 
 
+#: Stands for the end of a word; no UTF-8 text has it.
+END_BYTE = b"\xff"
+
+
+def word_encoder(model: str):
+    """A quicker way to the same ids for single words, or None where the tokenizer isn't of that kind.
+
+    A byte-level BPE with ends of words, whose ids count up in the order of its
+    merges, is the same as one over bytes that merges the smallest id first, with
+    the end of the word as one more byte.
+    """
+    rules = json.loads(model)["model"]
+    vocabulary, merges = rules.get("vocab", {}), rules.get("merges", [])
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    if rules.get("end_of_word_suffix") != "</w>" or any(vocabulary.get(m) != 512 + i for i, m in enumerate(joined)):
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = (b for b in range(256) if b not in set(plain))
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    ranks = {}
+    for token, i in vocabulary.items():
+        if i < 512 + len(merges):
+            ends = token.endswith("</w>") and len(token) > 4
+            ranks[bytes(byte[c] for c in (token[:-4] if ends else token)) + END_BYTE * ends] = i
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+_ids: dict[tuple[str, int], Ids] = {}
+
+
 class Ids(dict):
-    """Chunk between white space -> its ids as little-endian 32-bit bytes. Emptied at ``limit`` entries.
+    """Chunk between white space -> its ids as 32-bit bytes (little-endian, as on all machines Spark's Arrow runs on). Emptied at ``limit`` entries.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its chunks in order.
@@ -46,19 +82,34 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_str(model), limit
-        self.end = np.array([end], "<u4").tobytes()
+        self.end = array("I", [end]).tobytes()
+        self.words = word_encoder(model)
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        self[chunk] = out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if chunk[-1] in ".,;:!?|" and (c := chunk[-2:-1]).isalpha() and len(c.lower()) == 1:  # punctuation is a token of its own
+            out = self[chunk[:-1]] + self[chunk[-1]]
+        elif self.words and chunk.isalpha() and max(chunk) <= "\xff":  # one word, composed; lower case changes no length
+            out = array("I", self.words(chunk.lower().encode() + END_BYTE)).tobytes()
+        else:
+            out = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = out
         return out
 
+    @classmethod
+    def shared(cls, model: str, end: int) -> Ids:
+        """One for all tasks that a worker process runs."""
+        if (model, end) not in _ids:
+            _ids.clear()
+            _ids[model, end] = cls(model, end)
+        return _ids[model, end]
+
     def of(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         return b"".join(map(self.__getitem__, text.split())) + self.end
 
 
@@ -136,7 +187,7 @@ def dealt(bins: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, in
 
 def _tokenised(model, end: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, width = Ids(model.value, end), 4 * size
+        ids, width = Ids.shared(model.value, end), 4 * size
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -150,7 +201,7 @@ def _tokenised(model, end: int, size: int):
 
 def _cut(model, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(model.value, end)
+        ids = Ids.shared(model.value, end)
         for batch in batches:
             rows = []
             for doc, text, crc, cuts in zip(batch["doc_id"], batch["text"], batch["crc"], batch["cuts"], strict=True):

@@ -66,3 +66,15 @@ def test_linear_program_meets_the_bound():
     assert np.allclose(sum(use * times for use, times in found), counts)
     assert sum(use for use, _ in found) >= (sizes @ counts) / 20 - 1e-6
     assert all(times @ sizes <= 20 for _, times in found)
+
+
+def test_cached_words_have_the_tokenizers_ids():
+    from array import array
+    from pathlib import Path
+
+    model, rng = Path(PATH).read_text(), random.Random(3)
+    ids, tokenizer = packing.Ids(model, 2, limit=500), tokenizers.Tokenizer.from_file(PATH)
+    parts = ["a", "B", "Σ", "É", "é", "'s", "'S", "'ll", "<|endoftext|>", "<|", "12", ".", ",", "|", " ", " ", "\n", "ß", "İ", "ﬁ", "́", "’", "\x85", "​", "日本", "K", "ª", "ÿ", "ing", "The"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert list(array("I", ids.of(text))) == tokenizer.encode(text, add_special_tokens=False).ids + [2], text
