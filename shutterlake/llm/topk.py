@@ -29,39 +29,54 @@ class Lists:
         self.order = np.argsort(self.x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.x, self.order, axis=0)
 
-    def top(self, query: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best, ties to smaller ids; how deep the lists were read is kept in ``read``."""
-        n = len(self.ids)
-        used = np.flatnonzero(q)
-        up = q[used] > 0
-        seen = np.zeros(n, bool)
-        place, scores = np.zeros(0, np.int64), np.zeros(0)
-        own = np.searchsorted(self.ids, query)
-        if own < n and self.ids[own] == query:
-            seen[own] = True
+    def top(self, queries: np.ndarray, q: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query (score, id) of the k best other candidates, ties to smaller ids.
+
+        A query that has not stopped by the time an eighth of the candidates is
+        scored reads its lists to the end; what those queries then meet is all
+        candidates, so they are scored together. ``read`` has the depth that
+        each query's lists were read to.
+        """
+        n, out = len(self.ids), []
+        self.read = np.zeros(len(queries), np.int64)
+        for r, (query, v) in enumerate(zip(queries, q, strict=True)):
+            out.append(self._until_bound(r, query, v, k))
+        rest = [r for r, found in enumerate(out) if found is None]
+        for at in range(0, len(rest), 256):
+            some = rest[at : at + 256]
+            scores = self.x @ q[some].T
+            for r, own in zip(some, scores.T, strict=True):
+                self.read[r] = n
+                out[r] = self._best(np.flatnonzero(self.ids != queries[r]), own, k)
+        return out
+
+    def _best(self, place: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Of the candidates at ``place``, in ascending order; scores are of all candidates."""
+        own = scores[place]
+        if len(place) > k and own.dtype != object:
+            least = np.partition(own, len(own) - k)[len(own) - k]
+            keep = own >= least
+            place, own = place[keep], own[keep]
+        order = sorted(range(len(place)), key=lambda i: (-own[i], place[i]))[:k]
+        return [(int(own[i]), int(self.ids[place[i]])) for i in order]
+
+    def _until_bound(self, r: int, query: int, q: np.ndarray, k: int) -> list[tuple[int, int]] | None:
+        n, used = len(self.ids), np.flatnonzero(q)
+        up, seen, scores = q[used] > 0, np.zeros(n, bool), np.zeros(n, self.x.dtype)
         depth, step = 0, DEPTH
-        while True:
-            if len(used):
-                to = min(n, depth + step)
-                met = np.concatenate([self.order[n - to : n - depth, used[up]].ravel(), self.order[depth:to, used[~up]].ravel()])
-                fresh = np.unique(met[~seen[met]])
-                depth, step = to, 2 * step
-            else:  # all scores are nought: the smallest ids win
-                fresh, depth = np.flatnonzero(~seen)[:k], n
-            if len(fresh):
-                seen[fresh] = True
-                place, scores = np.concatenate([place, fresh]), np.concatenate([scores, self.x[fresh] @ q])
-                if len(place) > k:
-                    best = np.lexsort((place, -scores))[:k]
-                    place, scores = place[best], scores[best]
-            self.read = depth
-            if depth >= n or seen.all():
-                break
-            bound = float(np.where(up, self.sorted[n - depth, used] if depth else 0, self.sorted[depth - 1, used]) @ q[used])
-            if len(place) == k and bound < scores.min():
-                break
-        best = np.lexsort((place, -scores))
-        return [(int(scores[i]), int(self.ids[place[i]])) for i in best]
+        while len(used) and depth < n and depth * len(used) < n // 8:
+            to = min(n, depth + step)
+            met = np.concatenate([self.order[n - to : n - depth, used[up]].ravel(), self.order[depth:to, used[~up]].ravel()])
+            fresh = np.unique(met[~seen[met]])
+            seen[fresh] = True
+            scores[fresh] = self.x[fresh] @ q
+            depth, step = to, 2 * step
+            self.read[r] = depth
+            bound = (np.where(up, self.sorted[n - depth, used], self.sorted[depth - 1, used]) * q[used]).sum()
+            best = self._best(np.flatnonzero(seen & (self.ids != query)), scores, k)
+            if len(best) == k and bound < best[-1][0]:
+                return best
+        return None
 
 
 def matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -105,8 +120,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             top = lambda m: int(max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))))
             kind = float if top(x) * top(q) * max(1, width) < 2**53 else object
             lists = Lists(own["vec_id"].to_numpy(), x.astype(kind))
-            for query, v in zip(asked["vec_id"], q.astype(kind), strict=True):
-                out += [(query, other, score) for score, other in lists.top(query, v, k)]
+            ids = asked["vec_id"].to_numpy()
+            for query, best in zip(ids, lists.top(ids, q.astype(kind), k), strict=True):
+                out += [(query, other, score) for score, other in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = candidates.groupBy("block", "set").cogroup(queries.groupBy("block", "set")).applyInPandas(search, "query_id long, vec_id long, score long")

@@ -37,7 +37,8 @@ def test_threshold_stops_early():
     import numpy as np
 
     lists = topk.Lists(np.arange(5000), np.column_stack([np.arange(5000.0), np.arange(5000.0) % 7]))
-    assert lists.top(-1, np.array([3.0, 0.1]), 3)[0][1] == 4999 and lists.read < 100
+    (best,) = lists.top(np.array([-1]), np.array([[3.0, 0.1]]), 3)
+    assert best[0][1] == 4999 and lists.read[0] < 100
 
 
 def test_top_k_of_an_empty_table(spark):
