@@ -12,6 +12,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Python workers get at most so many rows at once in what is executed inside: wide rows then need little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Stored:
     """A table written to the shared folder; ``df`` reads it and ``drop`` removes it."""
 
@@ -73,7 +89,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied at ``limit`` entries, so memory stays bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         super().__init__()

@@ -13,10 +13,12 @@ need fewer, as n - ceil(s n) + 1 values always meet. Values held by more than
 line or passage doesn't fill the lists.
 
 Hot groups. Documents with equal sets are one class from the start. A list isn't
-expanded into pairs: each round compares its members with its smallest member
-only, and links merge components, until the pairs left to compare are few; those
-are then compared one by one. So a group of n near copies costs about n pairs
-for each value, and no link between different components is left out.
+expanded into pairs: each round compares its members with a few of them only (one,
+eight, sixty-four, ...), those leave the list, and links merge components, until
+the pairs of different components left to compare are few; those are then compared
+one by one. Members with many shingles that no other open document has can't reach
+the similarity with any of them and leave as well; those with the fewest go first. So a group of n near copies costs about n pairs for each value, and no
+link between different components is left out.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, WordHashes, ngram_hashes, release
+from .common import Stored, WordHashes, ngram_hashes, release, small_batches
 
 SKETCH = 64
 PREFIX = 16
-HOT = 200
+HOT = 32
 #: Pairs of different components, for each listed document, that are compared one by one.
 REST = 8
 #: Standard errors by which a union sketch's estimate may fall short.
@@ -73,22 +75,22 @@ def _full_sets(words: int):
     return run
 
 
-def _estimate_passes(percent: int):
-    @F.pandas_udf("boolean")
-    def passes(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
+def _estimate(percent: int):
+    """The share of the union's sketch that both have, null where the pair cannot reach ``percent``."""
+
+    @F.pandas_udf("double")
+    def estimate(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
         out = []
+        s = percent / 100
         for x, nx, y, ny in zip(a, n, b, m, strict=True):
-            x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
-            both = np.union1d(x, y)
-            k = len(both) if nx <= SKETCH and ny <= SKETCH else min(SKETCH, len(both))
-            low = both[:k]
-            share = (np.isin(low, x) & np.isin(low, y)).mean() if k else 0.0
-            exact = nx <= SKETCH and ny <= SKETCH
-            s = percent / 100
-            out.append(share >= (s - 1e-12 if exact else s - SLACK * (s * (1 - s) / k) ** 0.5))
-        return pd.Series(out, dtype=bool)
+            whole = nx <= SKETCH and ny <= SKETCH
+            low, times = np.unique(np.concatenate([x, y]).view(np.uint64), return_counts=True)
+            times = times if whole else times[:SKETCH]
+            share = (times == 2).mean()
+            out.append(share if share >= s - (1e-12 if whole else SLACK * (s * (1 - s) / len(times)) ** 0.5) else None)
+        return pd.Series(out, dtype=float)
 
-    return passes
+    return estimate
 
 
 def _linked(percent: int):
@@ -103,6 +105,14 @@ def _linked(percent: int):
     return linked
 
 
+def _confirmed(labels: _Labels, pairs: Stored, full: Stored, percent: int) -> DataFrame:
+    """The component pairs that ``pairs`` link by their full sets."""
+    x, y = full.df.toDF("a", "fa"), full.df.toDF("b", "fb")
+    found = Stored(pairs.df.join(x, "a").join(y, "b").where(_linked(percent)("fa", "fb")).select("a", "b"), "found").df
+    pairs.drop()
+    return labels.of(labels.of(found, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 class _Labels:
     """Components as a stored table (id, label); ids that it lacks are their own label."""
 
@@ -144,21 +154,27 @@ class _Labels:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """See ``_near_duplicates``; all Python work is done when this returns."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, percent, words)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their
     shingle sets. component_id is the smallest doc_id reachable; kept marks the
     row whose doc_id that is. A text of fewer than ``words`` words is one
     shingle; a null, empty or blank text has an empty set and stands alone. Rows
-    that repeat a doc_id are one document: it links what any of them links. Rows without a doc_id form no links:
-    their component is null and kept is false. Other columns are ignored.
+    that repeat a doc_id are one document: it links what any of them links. Rows
+    without a doc_id form no links: their component is null and kept is false. Other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = Stored(base.mapInPandas(_sets(words), SETS), "sets")
     classes = sets.df.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = Stored(classes, "classes")
-    first = sets.df.where("n > 0").join(member.df.toDF("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
+    classes = Stored(classes, "classes")
+    first = sets.df.where("n > 0").join(classes.df.toDF("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
     reps = Stored(first.select(F.col("doc_id").alias("id"), "n", "sketch"), "reps")
 
     # a value is hot if many sketches' first half has it
@@ -179,44 +195,72 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     lists = narrowed
     release(spark)
 
-    labels, passes, linked = _Labels(spark), _estimate_passes(percent), _linked(percent)
+    labels, estimate = _Labels(spark), _estimate(percent)
     # a doc_id that stands on several rows links their sets
     again = sets.df.where("n > 0").groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("l")).where("k <> l")
-    again = sets.df.where("n > 0").join(again.select("doc_id"), "doc_id", "left_semi").join(member.df, "set_key")
+    again = sets.df.where("n > 0").join(again.select("doc_id"), "doc_id", "left_semi").join(classes.df, "set_key")
     labels.merge(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    last = False
+    last, spread, own = False, 1, None
     while not last:
-        now = Stored(labels.of(lists.df, "id", "label"), "open")
-        by = now.df.groupBy("v", "label").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("first"))
-        sizes = by.groupBy("v").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("parts"), F.min("first").alias("head"))
-        sizes = Stored(sizes.where("parts > 1").select("v", "c", "sq", "head"), "sizes")
+        member = labels.of(lists.df, "id", "label")
+        if own is None:
+            member = member.withColumn("u", F.lit(0).cast("long"))
+        else:
+            member = member.join(own.df, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        now = Stored(member.select("v", "id", "n", "label", "u"), "open")
+        least = Stored(now.df.groupBy("v").agg(F.min("u").alias("least")), "least")
+        # what a member has alone is in no other member's set: some can't reach the similarity with any
+        alive = (F.col("n") - F.col("u")) * 100 >= (F.col("n") + F.col("least")) * percent
+        able = now.df.join(least.df, "v").where(alive).drop("least") if own else now.df
+        able = Stored(able, "able")
+        by = able.df.groupBy("v", "label").agg(F.count("*").alias("c"))
+        sizes = by.groupBy("v").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("parts"))
+        sizes = Stored(sizes.where("parts > 1").select("v", "c", "sq"), "sizes")
         left = sizes.df.agg(F.sum(F.expr("(c * c - sq) div 2")).alias("pairs"), F.sum("c").alias("rows")).first()
         if left["pairs"] is None:
             break
         last = left["pairs"] <= REST * left["rows"]
-        if last:
-            one = now.df.join(sizes.df.select("v"), "v", "left_semi")
-            other = Stored(one.select("v", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m")), "open")
-            pairs = other.df.toDF("v", "a", "la", "n").join(other.df, "v").where("a < b and la <> lb")
-        else:  # every member against the smallest one of its list
-            head = sizes.df.select("v", F.col("head.id").alias("b"), F.col("head.n").alias("m"))
-            pairs = now.df.select("v", F.col("id").alias("a"), "n").join(head, "v").where("a <> b")
+        member = Stored(able.df.join(sizes.df.select("v"), "v", "left_semi"), "members")
+        # heads: all members at last; before, of each of some hashed parts of a list the one with the fewest values of its own
+        part = F.pmod(F.xxhash64("id"), F.lit(spread))
+        best = member.df.groupBy("v", part.alias("part")).agg(F.min(F.struct("u", "id", "n", "label")).alias("h"))
+        heads = member.df.select("v", F.struct("u", "id", "n", "label").alias("h")) if last else best
+        heads = Stored(heads.select("v", F.col("h.id").alias("b"), F.col("h.n").alias("m"), F.col("h.label").alias("lb"), F.col("h.u").alias("w")), "heads")
+        if not last:
+            done = heads.df.select("v", F.col("b").alias("id"), F.lit(True).alias("head"))
+            member_df = member.df.join(done, ["v", "id"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
+        else:
+            member_df = member.df.withColumn("head", F.lit(True))
+        member_df = Stored(member_df, "members")
         near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        pairs = Stored(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        once = F.expr("not head or id < b")  # two heads meet once
+        most = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("w"))  # that they can have in common
+        near = near & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
+        pairs = member_df.df.join(heads.df, "v").where(near & once & F.expr("label <> lb")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+        pairs = Stored(pairs.distinct(), "pairs")
         mine, theirs = reps.df.select("id", "n", "sketch").toDF("a", "n", "sa"), reps.df.select("id", "n", "sketch").toDF("b", "m", "sb")
-        likely = Stored(pairs.df.join(mine, "a").join(theirs, "b").where(passes("sa", "n", "sb", "m")).select("a", "b").distinct(), "likely")
-        x, y = full.df.toDF("a", "fa"), full.df.toDF("b", "fb")
-        found = Stored(likely.df.join(x, "a").join(y, "b").where(linked("fa", "fb")).select("a", "b"), "found")
-        labels.merge(labels.of(labels.of(found.df, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        scored = pairs.df.join(mine, "a").join(theirs, "b").select("a", "b", estimate("sa", "n", "sb", "m").alias("e"))
+        likely = Stored(scored.where("e is not null").groupBy("a", "b").agg(F.max("e").alias("e")), "likely")
+        # of the pairs that would unite the same two components first the likeliest, then what is still apart
+        labelled = labels.of(labels.of(likely.df, "a", "x"), "b", "y").where("x <> y")
+        first = labelled.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b")
+        labels.merge(_confirmed(labels, Stored(first, "chosen"), full, percent))
+        apart = labels.of(labels.of(likely.df, "a", "x"), "b", "y").where("x <> y").select("a", "b")
+        labels.merge(_confirmed(labels, Stored(apart, "chosen"), full, percent))
         if not last:  # a head has met every other member of its list
-            heads = sizes.df.select("v", F.col("head.id").alias("id"))
-            rest = Stored(now.df.select("id", "n", "v").join(sizes.df.select("v"), "v", "left_semi").join(heads, ["v", "id"], "left_anti"), "lists")
+            rest = Stored(member_df.df.where("not head").select("id", "n", "v"), "lists")
             lists.drop()
             lists = rest
-        for t in (now, sizes, pairs, likely, found):
+            open_ids = Stored(labels.of(rest.df, "id", "label").groupBy("v").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").join(rest.df, "v").select(F.col("id").alias("doc_id")).distinct(), "ids")
+            values = full.df.join(open_ids.df, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("full").alias("x"))
+            alone = values.groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+            own = Stored(alone.groupBy("id").agg(F.count("*").alias("u")), "own")
+            open_ids.drop()
+        spread = min(spread * 8, 1 << 20)
+        for t in (now, least, able, sizes, member, member_df, heads, pairs, likely):
             t.drop()
         release(spark)
-    rows = sets.df.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(member.df, "set_key", "left")
+    rows = sets.df.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(classes.df, "set_key", "left")
     rows = labels.of(rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))), "rep", "component_id")
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
