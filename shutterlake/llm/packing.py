@@ -67,9 +67,6 @@ def word_encoder(model: str):
     return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-_ids: dict[tuple[str, int], Ids] = {}
-
-
 class Ids(dict):
     """Chunk between white space -> its ids as 32-bit bytes (little-endian, as on all machines Spark's Arrow runs on). Emptied at ``limit`` entries.
 
@@ -77,7 +74,7 @@ class Ids(dict):
     are those of its chunks in order.
     """
 
-    def __init__(self, model: str, end: int, limit: int = 1_000_000):
+    def __init__(self, model: str, end: int, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -97,14 +94,6 @@ class Ids(dict):
         self[chunk] = out
         return out
 
-    @classmethod
-    def shared(cls, model: str, end: int) -> Ids:
-        """One for all tasks that a worker process runs."""
-        if (model, end) not in _ids:
-            _ids.clear()
-            _ids[model, end] = cls(model, end)
-        return _ids[model, end]
-
     def of(self, text: str | None) -> bytes:
         if not text:
             return self.end
@@ -187,7 +176,7 @@ def dealt(bins: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, in
 
 def _tokenised(model, end: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, width = Ids.shared(model.value, end), 4 * size
+        ids, width = Ids(model.value, end), 4 * size
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -201,7 +190,7 @@ def _tokenised(model, end: int, size: int):
 
 def _cut(model, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids.shared(model.value, end)
+        ids = Ids(model.value, end)
         for batch in batches:
             rows = []
             for doc, text, crc, cuts in zip(batch["doc_id"], batch["text"], batch["crc"], batch["cuts"], strict=True):
