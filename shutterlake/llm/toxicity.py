@@ -45,7 +45,8 @@ def fold(text: str | None) -> str:
         return " "
     text = text.lower()
     if _HAS_SIGN.search(text):
-        text = _IN_WORD.sub(lambda m: m[0].translate(_SIGN), text)
+        for _ in range(2):  # what is read first may be what another sign stands beside
+            text = _IN_WORD.sub(lambda m: m[0].translate(_SIGN), text)
     return f" {text.translate(_FOLD)} "
 
 
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: F.Column, exceptions:
     got = kept.select("y", "folded").mapInPandas(rated, "y int, a double, b double").collect()
     kept.unpersist()
     y = np.array([r["y"] for r in got], float)
-    if len(got) and 0 < y.sum() < len(y):
+    if lexicon.terms and 0 < y.sum() < len(y):  # without terms no text is suspect
         lexicon.curve = tuple(round(float(v), 6) for v in _logistic(np.array([[r["a"], r["b"]] for r in got]), y))
     return lexicon
 
