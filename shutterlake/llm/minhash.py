@@ -12,13 +12,15 @@ need fewer, as n - ceil(s n) + 1 values always meet. Values held by more than
 ``HOT`` documents go behind all others in that order (rare first), so a common
 line or passage doesn't fill the lists.
 
-Hot groups. Documents with equal sets are one class from the start. A list isn't
-expanded into pairs: each round compares its members with a few of them only (one,
-eight, sixty-four, ...), those leave the list, and links merge components, until
-the pairs of different components left to compare are few; those are then compared
-one by one. Members with many shingles that no other open document has can't reach
-the similarity with any of them and leave as well; those with the fewest go first. So a group of n near copies costs about n pairs for each value, and no
-link between different components is left out.
+Hot groups. Documents with equal sets are one class from the start. Lists of at
+most ``LIST`` members give pairs, which are at most ``LIST`` / 2 for each member. A
+longer list isn't expanded: its members are dealt into blocks of bounded rows and
+shingles, and a task for each two blocks holds the sets of both and looks at a pair
+only if this is the first long list that the two share and they aren't linked yet. It
+returns a spanning forest of the links that it found, so a group of n near copies
+is sent n / ``ROWS`` times for each of its lists and yields at most about n links each time.
+Of the short lists' pairs those are confirmed first that are some component's likeliest, then
+what is still apart. No link between different components is left out.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ from .common import Stored, WordHashes, ngram_hashes, release, small_batches
 SKETCH = 64
 PREFIX = 16
 HOT = 32
-#: Pairs of different components, for each listed document, that are compared one by one.
-REST = 8
+#: Members up to which a list is expanded into pairs.
+LIST = 32
+#: Rows and shingles of a block of a longer list (on average).
+ROWS = 1024
+CELLS = 1 << 20
 #: Standard errors by which a union sketch's estimate may fall short.
 SLACK = 6
 
@@ -70,7 +75,9 @@ def _full_sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "full": [shingle_set(t, words, hashes).view(np.int64) for t in batch["text"]]})
+            full = pd.Series([shingle_set(t, words, hashes).view(np.int64) for t in batch["text"]], dtype=object)
+            some = (full.map(len) > 0).to_numpy()
+            yield pd.DataFrame({"doc_id": batch["doc_id"][some], "full": full.to_numpy()[some]})
 
     return run
 
@@ -105,12 +112,98 @@ def _linked(percent: int):
     return linked
 
 
-def _confirmed(labels: _Labels, pairs: Stored, full: Stored, percent: int) -> DataFrame:
+def _union_shares(mine: np.ndarray, theirs: np.ndarray, whole: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``theirs``, of the union of its sketch and ``mine``: the share that both have, and how many values it is taken of.
+
+    Sketches are sorted ranks, padded with ``none``; where not ``whole`` only the union's ``SKETCH`` smallest count.
+    """
+    both = np.sort(np.concatenate([theirs, np.broadcast_to(mine, theirs.shape)], axis=1), axis=1)
+    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < none)
+    most = np.where(whole, 2 * SKETCH, SKETCH)
+    rank = np.arange(2, 2 * SKETCH + 1, dtype=np.int16) - np.cumsum(twice, axis=1, dtype=np.int16)
+    size = np.minimum((both < none).sum(axis=1) - twice.sum(axis=1), most)
+    return (twice & (rank <= most[:, None])).sum(axis=1) / size, size
+
+
+def _block_links(percent: int):
+    """Links between the members of two blocks of a list (or within one), as a spanning forest."""
+    s = percent / 100
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        here, low, high = key
+        ids, block = frame["id"].to_numpy(), frame["part"].to_numpy()
+        n = frame["full"].map(len).to_numpy()
+        start = np.concatenate([[0], np.cumsum(n)])
+        values, flat = np.unique(np.concatenate(frame["full"].to_numpy()).view(np.uint64), return_inverse=True)
+        flat, none = flat.astype(np.int32), len(values)
+        sketch = np.full((len(n), SKETCH), none, np.int32)
+        for k in range(len(n)):
+            own = flat[start[k] : start[k + 1]][:SKETCH]
+            sketch[k, : len(own)] = own
+        # each member's long lists as sorted numbers, padded with one that nobody has
+        lists, number = np.unique(np.concatenate(frame["vs"].to_numpy()), return_inverse=True)
+        on = np.full((len(n), max(map(len, frame["vs"]))), len(lists), np.int32)
+        at = 0
+        for k, vs in enumerate(frame["vs"]):
+            on[k, : len(vs)] = np.sort(number[at : at + len(vs)])
+            at += len(vs)
+        this = int(np.searchsorted(lists, here))
+        root = np.unique(ids, return_inverse=True)[1]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        has, listed, links = np.zeros(none, np.uint8), np.zeros(len(lists) + 1, bool), []
+        for turn, i in enumerate(left):
+            with_ = left[:turn] if low == high else right
+            with_ = with_[(root[with_] != root[i]) & (np.minimum(n[with_], n[i]) * 100 >= np.maximum(n[with_], n[i]) * percent)]
+            if not len(with_):
+                continue
+            listed[on[i]] = True
+            listed[-1] = False
+            common = listed[on[with_]]
+            first = on[with_, np.argmax(common, axis=1)]
+            listed[on[i]] = False
+            with_ = with_[first == this]
+            if not len(with_):
+                continue
+            whole = (n[with_] <= SKETCH) & (n[i] <= SKETCH)
+            share, size = _union_shares(sketch[i], sketch[with_], whole, none)
+            with_ = with_[share >= s - np.where(whole, 1e-12, SLACK * np.sqrt(s * (1 - s) / size))]
+            if not len(with_):
+                continue
+            mine = flat[start[i] : start[i + 1]]
+            has[mine] = 1
+            cells = np.concatenate([flat[start[j] : start[j + 1]] for j in with_])
+            shared = np.add.reduceat(has[cells], np.concatenate([[0], np.cumsum(n[with_])[:-1]]), dtype=np.int64)
+            has[mine] = 0
+            for j in with_[100 * shared >= percent * (n[i] + n[with_] - shared)]:
+                if root[j] != root[i]:
+                    links.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _long_list_links(lists: DataFrame, sizes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each list in ``sizes`` (v, parts)."""
+    blocks = sizes.agg(F.sum(F.expr("parts * (parts + 1) div 2"))).first()[0]
+    if not blocks:
+        return lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    tasks = min(int(blocks), max(200, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    member = lists.select("v", "id").distinct().join(sizes, "v").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    where = member.groupBy("id").agg(F.collect_list(F.struct("v", "part", "parts")).alias("lists"), F.sort_array(F.collect_set("v")).alias("vs"))
+    wide = where.join(full.toDF("id", "full"), "id").select("id", "vs", "full", F.explode("lists").alias("x"))
+    wide = wide.select("id", "vs", "full", "x.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = [F.col("v"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    wide = wide.select(*keys, "id", "part", "vs", "full").repartition(tasks, "v", "low", "high")
+    return wide.groupBy("v", "low", "high").applyInPandas(_block_links(percent), "a long, b long")
+
+
+def _confirmed(labels: _Labels, pairs: Stored, full: DataFrame, percent: int) -> DataFrame:
     """The component pairs that ``pairs`` link by their full sets."""
-    x, y = full.df.toDF("a", "fa"), full.df.toDF("b", "fb")
+    x, y = full.toDF("a", "fa"), full.toDF("b", "fb")
     found = Stored(pairs.df.join(x, "a").join(y, "b").where(_linked(percent)("fa", "fb")).select("a", "b"), "found").df
     pairs.drop()
-    return labels.of(labels.of(found, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return labels.between(found).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 class _Labels:
@@ -124,6 +217,10 @@ class _Labels:
         got = self.kept.df.select(F.col("id").alias(column), F.col("label").alias("_l"))
         return df.join(got, column, "left").withColumn(to, F.coalesce("_l", column)).drop("_l")
 
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, ...) with their labels x and y, without those that have the same."""
+        return self.of(self.of(pairs, "a", "x"), "b", "y").where("x <> y")
+
     def merge(self, edges: DataFrame) -> None:
         """Unites what ``edges`` (a, b: labels) link.
 
@@ -186,80 +283,41 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int) -> DataFrame:
     order = F.struct(F.coalesce("h", F.lit(0)).alias("h"), F.col("v").bitwiseXOR(F.lit(-(2**63))).alias("o"), "v")
     listed = marked.groupBy("id", "n").agg(F.array_sort(F.collect_list(order)).alias("vs"))
     lists = Stored(listed.select("id", "n", F.explode(F.slice("vs", F.lit(1), need)).alias("x")).select("id", "n", F.col("x.v").alias("v")), "lists")
-    shared = Stored(lists.df.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("v"), "shared")
-    narrowed = Stored(lists.df.join(shared.df, "v", "left_semi"), "lists")
-    wanted = Stored(narrowed.df.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    full = Stored(base.join(wanted.df, "doc_id", "left_semi").mapInPandas(_full_sets(words), "doc_id long, full array<long>"), "full")
-    for t in (lists, hot, shared, wanted):
-        t.drop()
-    lists = narrowed
+    sizes = lists.df.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("cells"), F.min("id").alias("low"), F.max("id").alias("high"))
+    sizes = Stored(sizes.where("low < high").select("v", "c", F.ceil(F.greatest(F.col("c") / ROWS, F.col("cells") / CELLS)).cast("int").alias("parts")), "sizes")
+    short = lists.df.join(sizes.df.where(F.col("c") <= LIST).select("v"), "v", "left_semi").select("v", "id", "n")
+    long = sizes.df.where(F.col("c") > LIST).select("v", "parts")
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    pairs = short.toDF("v", "a", "n").join(short.toDF("v", "b", "m"), "v").where(near & F.expr("a < b")).select("a", "b").distinct()
+    mine, theirs = reps.df.select("id", "n", "sketch").toDF("a", "n", "sa"), reps.df.select("id", "n", "sketch").toDF("b", "m", "sb")
+    scored = pairs.join(mine, "a").join(theirs, "b").select("a", "b", _estimate(percent)("sa", "n", "sb", "m").alias("e")).where("e is not null")
+    likely = Stored(scored, "likely")
+    listed = lists.df.join(long, "v", "left_semi").select("id")
+    wanted = Stored(likely.df.select(F.explode(F.array("a", "b")).alias("doc_id")).union(listed).distinct(), "wanted")
+    full = base.join(wanted.df, "doc_id", "left_semi").mapInPandas(_full_sets(words), "doc_id long, full array<long>")
+    twice = sets.df.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not twice.limit(1).isEmpty():
+        full = full.dropDuplicates(["doc_id", "full"])
+    full = Stored(full, "full").df
     release(spark)
 
-    labels, estimate = _Labels(spark), _estimate(percent)
+    labels = _Labels(spark)
     # a doc_id that stands on several rows links their sets
     again = sets.df.where("n > 0").groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("l")).where("k <> l")
     again = sets.df.where("n > 0").join(again.select("doc_id"), "doc_id", "left_semi").join(classes.df, "set_key")
     labels.merge(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    last, spread, own = False, 1, None
-    while not last:
-        member = labels.of(lists.df, "id", "label")
-        if own is None:
-            member = member.withColumn("u", F.lit(0).cast("long"))
-        else:
-            member = member.join(own.df, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-        now = Stored(member.select("v", "id", "n", "label", "u"), "open")
-        least = Stored(now.df.groupBy("v").agg(F.min("u").alias("least")), "least")
-        # what a member has alone is in no other member's set: some can't reach the similarity with any
-        alive = (F.col("n") - F.col("u")) * 100 >= (F.col("n") + F.col("least")) * percent
-        able = now.df.join(least.df, "v").where(alive).drop("least") if own else now.df
-        able = Stored(able, "able")
-        by = able.df.groupBy("v", "label").agg(F.count("*").alias("c"))
-        sizes = by.groupBy("v").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("parts"))
-        sizes = Stored(sizes.where("parts > 1").select("v", "c", "sq"), "sizes")
-        left = sizes.df.agg(F.sum(F.expr("(c * c - sq) div 2")).alias("pairs"), F.sum("c").alias("rows")).first()
-        if left["pairs"] is None:
-            break
-        last = left["pairs"] <= REST * left["rows"]
-        member = Stored(able.df.join(sizes.df.select("v"), "v", "left_semi"), "members")
-        # heads: all members at last; before, of each of some hashed parts of a list the one with the fewest values of its own
-        part = F.pmod(F.xxhash64("id"), F.lit(spread))
-        best = member.df.groupBy("v", part.alias("part")).agg(F.min(F.struct("u", "id", "n", "label")).alias("h"))
-        heads = member.df.select("v", F.struct("u", "id", "n", "label").alias("h")) if last else best
-        heads = Stored(heads.select("v", F.col("h.id").alias("b"), F.col("h.n").alias("m"), F.col("h.label").alias("lb"), F.col("h.u").alias("w")), "heads")
-        if not last:
-            done = heads.df.select("v", F.col("b").alias("id"), F.lit(True).alias("head"))
-            member_df = member.df.join(done, ["v", "id"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
-        else:
-            member_df = member.df.withColumn("head", F.lit(True))
-        member_df = Stored(member_df, "members")
-        near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        once = F.expr("not head or id < b")  # two heads meet once
-        most = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("w"))  # that they can have in common
-        near = near & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-        pairs = member_df.df.join(heads.df, "v").where(near & once & F.expr("label <> lb")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        pairs = Stored(pairs.distinct(), "pairs")
-        mine, theirs = reps.df.select("id", "n", "sketch").toDF("a", "n", "sa"), reps.df.select("id", "n", "sketch").toDF("b", "m", "sb")
-        scored = pairs.df.join(mine, "a").join(theirs, "b").select("a", "b", estimate("sa", "n", "sb", "m").alias("e"))
-        likely = Stored(scored.where("e is not null").groupBy("a", "b").agg(F.max("e").alias("e")), "likely")
-        # of the pairs that would unite the same two components first the likeliest, then what is still apart
-        labelled = labels.of(labels.of(likely.df, "a", "x"), "b", "y").where("x <> y")
-        first = labelled.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b")
-        labels.merge(_confirmed(labels, Stored(first, "chosen"), full, percent))
-        apart = labels.of(labels.of(likely.df, "a", "x"), "b", "y").where("x <> y").select("a", "b")
-        labels.merge(_confirmed(labels, Stored(apart, "chosen"), full, percent))
-        if not last:  # a head has met every other member of its list
-            rest = Stored(member_df.df.where("not head").select("id", "n", "v"), "lists")
-            lists.drop()
-            lists = rest
-            open_ids = Stored(labels.of(rest.df, "id", "label").groupBy("v").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").join(rest.df, "v").select(F.col("id").alias("doc_id")).distinct(), "ids")
-            values = full.df.join(open_ids.df, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("full").alias("x"))
-            alone = values.groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-            own = Stored(alone.groupBy("id").agg(F.count("*").alias("u")), "own")
-            open_ids.drop()
-        spread = min(spread * 8, 1 << 20)
-        for t in (now, least, able, sizes, member, member_df, heads, pairs, likely):
-            t.drop()
-        release(spark)
+    found = Stored(_long_list_links(lists.df, long, full, percent), "found").df
+    labels.merge(labels.between(found).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # first the likeliest pair of each component, then what is still apart
+    open_ = Stored(labels.between(likely.df), "between")
+    each = open_.df.select(F.explode(F.array("x", "y")).alias("one"), F.struct("e", "a", "b").alias("p"))
+    best = each.groupBy("one").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    labels.merge(_confirmed(labels, Stored(best, "chosen"), full, percent))
+    apart = labels.between(open_.df.select("a", "b")).select("a", "b").distinct()
+    labels.merge(_confirmed(labels, Stored(apart, "chosen"), full, percent))
+    for t in (lists, hot, sizes, wanted, likely, open_):
+        t.drop()
+    release(spark)
     rows = sets.df.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(classes.df, "set_key", "left")
     rows = labels.of(rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))), "rep", "component_id")
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

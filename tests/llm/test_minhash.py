@@ -56,6 +56,17 @@ def test_equals_all_pairs(spark, percent, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows, percent)
 
 
+@pytest.mark.parametrize("at_most,block", [(3, 7), (8, 1000)])
+def test_long_lists_in_blocks(spark, at_most, block, monkeypatch):
+    from shutterlake.llm import minhash
+
+    for name, value in (("HOT", 12), ("LIST", at_most), ("ROWS", block), ("CELLS", 40 * block)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = varied(at_most)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 85)
+
+
 def test_ids_repeated_or_absent_and_other_columns(spark):
     rows = [(7, "a b c d e f", 1), (7, "a b c d e f", 1), (5, "x y z", 2), (7, "x y z", 3), (None, "x y z", 4), (9, "q", 5)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id int"), 85)
