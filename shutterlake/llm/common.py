@@ -36,19 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: What Python workers get at once: so many rows and bytes at most, so that neither many rows nor long texts need much memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """``BATCH`` holds from now on, where the session doesn't set these itself: for results that are executed later."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Python workers get at most so many rows at once in what is executed inside: wide rows then need little memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession):
+    """``BATCH`` holds for what is executed inside."""
+    before = {key: spark.conf.get(key, None) for key in BATCH}
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 class Stored:
