@@ -40,14 +40,14 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order that interleaves sources to their target weights."""
+    """The documents in the order that interleaves sources to their target weights; files follow it and packing reads it from them."""
     return mixing.in_order(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, which follow the order that the mix was written in."""
     bound_batches(spark)
-    return packing.packed(docs, tokenizer_path())
+    return packing.packed(mixing.places(docs, "_place"), tokenizer_path(), order="_place")
 
 
 STAGES = [

@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +119,14 @@ def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     """``docs``, same columns, range-partitioned and sorted by the place in the mix: written files follow it."""
     place = "_mix_position"
     return mixed(docs, weights, block, column=place).repartitionByRange(place).sortWithinPartitions(place).select(docs.columns)
+
+
+def places(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with each row's place in ``column``, in the order of the files it is read from, as ``in_order`` has had them written: number of the writing task, of its file, of the row. What isn't read from files is mixed anew."""
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    task, file = number("^part-([0-9]+)-"), number("-c([0-9]+)[.]")
+    try:
+        return docs.select("*", (F.shiftleft(task, 44) + F.shiftleft(file, 32) + F.col("_metadata.row_index")).alias(column))
+    except AnalysisException:
+        return mixed(docs, column=column).select(*docs.columns, column)

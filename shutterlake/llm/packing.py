@@ -8,6 +8,11 @@ fill a sequence well are rounded down to whole numbers, and documents, ranked
 within their length, are dealt to them. What rounding leaves, and tails shorter
 than ``SHORT``, are laid end to end and cut at the sequence length; the last
 stretch is cut at powers of two, which need no padding.
+
+Documents can come with an order. Each length's documents are then dealt to the
+patterns evenly along it: each sequence aims at one point of the order, for all
+lengths in it, and the points of a length are matched with its documents in order.
+Sequences are numbered by the first place in them.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, release
@@ -32,8 +37,10 @@ UNIT, SHORT = 8, 64
 FILL = 0.98
 #: Documents are ranked within so many parts at least, and one for each PART_ROWS documents.
 PARTS, PART_ROWS = 256, 200_000
+#: With an order, a part is a stretch of so many places.
+PART_PLACES = 1 << 14
 
-TOKENS = "doc_id long, n long, crc long, chunk_crcs array<long>, tail_crc long"
+TOKENS = "doc_id long, place long, n long, crc long, chunk_crcs array<long>, tail_crc long"
 
 
 #: Stands for the end of a word; no UTF-8 text has it.
@@ -174,16 +181,53 @@ def dealt(bins: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, in
     return rows, sequences
 
 
+def _ranked(df: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
+    """``df`` (with a part) and each row's rank from 0 among those of its keys: within its part by ``by``, plus the rows of earlier parts."""
+    counts = df.groupBy(*keys, "part").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_below"))
+    own = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*by))
+    return df.withColumn("_own", own).join(counts, [*keys, "part"]).withColumn(name, F.col("_own") - 1 + F.col("_below")).drop("_own", "_below")
+
+
+def _slots(spark: SparkSession, table: list[tuple[int, int, int, int, int, int]], bins: dict[int, int], parts: int) -> DataFrame:
+    """A row for each tail: bin, rank in it, and the seq and slot to go to (null for the rest), ranked by the point aimed at.
+
+    A pattern's sequences aim at even steps, patterns at golden sections of a step; the rest is spread evenly.
+    """
+    number = {first: p for p, first in enumerate(sorted({r[4] for r in table}))}
+    plan = [(b, (high - low) // copies, copies, first, slot, (0.5 + number[first]) * (5**0.5 - 1) / 2 % 1) for b, low, high, copies, first, slot in table]
+    for b, low, high, *_ in table:
+        bins = bins | {b: bins[b] - (high - low)}
+    plan += [(b, c, 1, None, None, 0.5) for b, c in bins.items() if c]
+    # a row for each length in each pattern: no more for more data
+    rows = spark.createDataFrame(plan, "bin int, whole long, copies long, first long, slot long, phase double")
+    rows = rows.select("*", F.explode(F.expr(f"sequence(0L, whole * copies - 1, {PART_PLACES}L)")).alias("from")).repartition("bin", "first", "from")
+    rows = rows.select("*", F.explode(F.expr(f"sequence(from, least(from + {PART_PLACES}L, whole * copies) - 1)")).alias("item"))
+    rows = rows.withColumn("aim", F.expr("(item div copies + phase) / whole"))
+    rows = _ranked(rows.withColumn("part", F.expr(f"cast(aim * {parts} as int)")), ["bin"], ["aim", "first", "item"], "rank")
+    return rows.select("bin", "rank", F.expr("first + item div copies").alias("seq"), F.expr("slot + item % copies").alias("slot"))
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Sequences numbered anew from 0 by the first place in them (column place, which goes)."""
+    firsts = pieces.groupBy("sequence_id").agg(F.min("place").alias("place"))
+    ranked = _ranked(firsts.withColumn("part", F.expr(f"place div {PART_PLACES}")), [], ["place", "sequence_id"], "_to")
+    to = Stored(ranked.select(F.col("sequence_id").alias("_from"), F.col("_to").cast("long").alias("_to")), "numbers").df
+    names = [c for c in pieces.columns if c != "place"]
+    return pieces.join(to, F.col("sequence_id") == F.col("_from")).withColumn("sequence_id", F.col("_to")).select(names)
+
+
 def _tokenised(model, end: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, width = Ids(model.value, end), 4 * size
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, place, text in zip(batch["doc_id"], batch["place"], batch["text"], strict=True):
                 raw = ids.of(text)
                 full = len(raw) // width
-                rows.append((doc, len(raw) // 4, zlib.crc32(raw), [zlib.crc32(raw[k * width : (k + 1) * width]) for k in range(full)], zlib.crc32(raw[full * width :])))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "crc", "chunk_crcs", "tail_crc"]).astype({"doc_id": "Int64"})
+                rows.append((doc, place, len(raw) // 4, zlib.crc32(raw), [zlib.crc32(raw[k * width : (k + 1) * width]) for k in range(full)], zlib.crc32(raw[full * width :])))
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "n", "crc", "chunk_crcs", "tail_crc"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -202,52 +246,57 @@ def _cut(model, end: int):
     return run
 
 
-def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2, order: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document's ids, followed by ``end``, lie in exactly one piece each. A
     null or empty text is its end id alone. Rows that repeat a doc_id are packed
     one by one. An empty table gives no pieces; other columns are ignored.
+    ``order`` names a column of places (whole numbers, none negative): sequences
+    then follow it. Without it documents are dealt by hash.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # a vocabulary: its size doesn't depend on the data
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(order) if order else F.lit(0)).cast("long").alias("place"))
     tokens = Stored(base.mapInPandas(_tokenised(model, end, size), TOKENS), "tokens").df
     parts = max(PARTS, tokens.count() // PART_ROWS)
-    rows = tokens.withColumns({"full": F.size("chunk_crcs").cast("long"), "tail": F.col("n") - F.size("chunk_crcs") * size, "part": F.pmod(F.xxhash64("doc_id", "crc"), F.lit(parts)).cast("int")})
+    rows = tokens.withColumns({"full": F.size("chunk_crcs").cast("long"), "tail": F.col("n") - F.size("chunk_crcs") * size, "part": F.expr(f"place div {PART_PLACES}") if order else F.pmod(F.xxhash64("doc_id", "crc"), F.lit(parts)).cast("int")})
+    by = ["place", "doc_id", "crc"] if order else ["doc_id", "crc"]
 
     # full sequences, numbered through parts
     long = rows.where("full > 0")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    in_part = Window.partitionBy("part").orderBy("doc_id", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    in_part = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     offsets = long.groupBy("part").agg(F.sum("full").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     first = long.withColumn("own", F.coalesce(F.sum("full").over(in_part), F.lit(0))).join(offsets, "part")
-    chunks = first.select("doc_id", "n", (F.col("base") + F.col("own")).alias("first"), F.posexplode("chunk_crcs").alias("k", "ids_crc32"))
-    chunks = chunks.select("doc_id", (F.col("k") * size).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    chunks = first.select("doc_id", "place", "n", (F.col("base") + F.col("own")).alias("first"), F.posexplode("chunk_crcs").alias("k", "ids_crc32"))
+    chunks = chunks.select("doc_id", "place", (F.col("k") * size).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     # tails by length: as many rows as there are lengths
-    tails = rows.where("tail > 0").select("doc_id", "n", "crc", "tail", "tail_crc", "part", F.when(F.col("tail") >= SHORT, F.ceil(F.col("tail") / UNIT)).otherwise(0).cast("int").alias("bin"))
+    tails = rows.where("tail > 0").select("doc_id", "place", "n", "crc", "tail", "tail_crc", "part", F.when(F.col("tail") >= SHORT, F.ceil(F.col("tail") / UNIT)).otherwise(0).cast("int").alias("bin"))
     sums = tails.groupBy("bin").agg(F.count("*").alias("c")).collect()
     done = rows.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     table, sequences = dealt({r["bin"]: r["c"] for r in sums if r["bin"]}, size)
     ranges: dict[int, list] = {}
     for b, *rest in table:
         ranges.setdefault(b, []).append(tuple(rest))
-    # at most one row for each of the size / UNIT lengths
-    plan = spark.createDataFrame(sorted(ranges.items()), "bin int, ranges array<struct<low:long,high:long,copies:long,first:long,slot:long>>")
-    counts = tails.groupBy("bin", "part").agg(F.count("*").alias("c"))
-    counts = counts.select("bin", "part", F.coalesce(F.sum("c").over(Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
-    ranked = tails.withColumn("rank", F.row_number().over(Window.partitionBy("bin", "part").orderBy("doc_id", "crc"))).join(counts, ["bin", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("below"))
-    ranked = ranked.join(F.broadcast(plan), "bin", "left")
-    at = F.expr("get(filter(ranges, r -> r.low <= rank and rank < r.high), 0)")
-    placed = Stored(ranked.select("doc_id", "n", "crc", "tail", "tail_crc", "part", at.alias("at"), "rank"), "placed").df
-
-    in_pattern = placed.where("at is not null").withColumns({"seq": F.expr("at.first + (rank - at.low) div at.copies"), "slot": F.expr("at.slot + (rank - at.low) % at.copies")})
+    ranked = _ranked(tails, ["bin"], by, "rank")
+    if order:
+        ranked = ranked.join(_slots(spark, table, {r["bin"]: r["c"] for r in sums}, parts), ["bin", "rank"])
+    else:
+        # at most one row for each of the size / UNIT lengths
+        plan = spark.createDataFrame(sorted(ranges.items()), "bin int, ranges array<struct<low:long,high:long,copies:long,first:long,slot:long>>")
+        at = F.expr("get(filter(ranges, r -> r.low <= rank and rank < r.high), 0)")
+        ranked = ranked.join(F.broadcast(plan), "bin", "left").withColumn("at", at)
+        ranked = ranked.withColumns({"seq": F.expr("at.first + (rank - at.low) div at.copies"), "slot": F.expr("at.slot + (rank - at.low) % at.copies")})
+    placed = Stored(ranked.select("doc_id", "place", "n", "crc", "tail", "tail_crc", "part", "seq", "slot"), "placed").df
+
+    in_pattern = placed.where("seq is not null")
     along = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    whole = in_pattern.select("doc_id", (F.col("n") - F.col("tail")).alias("start"), F.col("tail").alias("length"), F.col("tail_crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.col("seq") + done).alias("sequence_id"), F.coalesce(F.sum("tail").over(along), F.lit(0)).alias("offset"))
+    whole = in_pattern.select("doc_id", "place", (F.col("n") - F.col("tail")).alias("start"), F.col("tail").alias("length"), F.col("tail_crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.col("seq") + done).alias("sequence_id"), F.coalesce(F.sum("tail").over(along), F.lit(0)).alias("offset"))
 
     # the rest end to end
-    rest = placed.where("at is null")
+    rest = placed.where("seq is null")
     totals = rest.groupBy("part").agg(F.sum("tail").alias("s"))
     total = totals.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
     last = total // size * size
@@ -260,13 +309,14 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2)
     pieces = laid.select("*", F.posexplode("cuts").alias("i", "pos")).withColumn("length", F.expr("coalesce(get(cuts, i + 1), from + tail) - pos"))
     in_last = F.expr(f"filter(marks, c -> c <= pos and pos >= {last}L)")
     pieces = pieces.withColumns({"start": F.expr("n - tail + pos - from"), "sequence_id": F.when(F.col("pos") < last, F.expr(f"pos div {size}")).otherwise(F.lit(last // size) + F.size(in_last) - 1) + done + sequences, "offset": F.when(F.col("pos") < last, F.expr(f"pos % {size}")).otherwise(F.col("pos") - F.coalesce(F.array_max(in_last), F.lit(0)))})
-    pieces = Stored(pieces.select("doc_id", "start", "length", F.when(F.size("cuts") == 1, F.col("tail_crc")).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset", "crc"), "pieces").df
+    pieces = Stored(pieces.select("doc_id", "place", "start", "length", F.when(F.size("cuts") == 1, F.col("tail_crc")).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset", "crc"), "pieces").df
     cut = pieces.where("ids_crc32 is null")
     wanted = Stored(cut.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("start", "length")).alias("cuts")), "cuts").df
     texts = base.join(wanted.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "crc", "cuts")
     crcs = texts.mapInPandas(_cut(model, end), "doc_id long, crc long, start long, length long, ids_crc32 long").distinct().toDF("_d", "_c", "_s", "_l", "found")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("crc") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("length") == F.col("_l"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", *(["place"] if order else []), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     cut = cut.drop("ids_crc32").join(crcs, on).withColumnRenamed("found", "ids_crc32")
     release(spark)
-    return chunks.select(names).unionByName(whole.select(names)).unionByName(pieces.where("ids_crc32 is not null").select(names)).unionByName(cut.select(names))
+    out = chunks.select(names).unionByName(whole.select(names)).unionByName(pieces.where("ids_crc32 is not null").select(names)).unionByName(cut.select(names))
+    return _numbered(Stored(out, "packed").df) if order else out

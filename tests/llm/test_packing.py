@@ -60,6 +60,25 @@ def test_empty_table_and_single_rows(spark):
     check(rows, packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), 4096)
 
 
+def test_sequences_follow_the_order(spark, monkeypatch):
+    monkeypatch.setattr(packing, "UNIT", 4)
+    monkeypatch.setattr(packing, "SHORT", 8)
+    monkeypatch.setattr(packing, "PART_PLACES", 64)
+    rng = random.Random(4)
+    rows = [(i, " ".join(["alpha"] * rng.choice([1, 5, 20, 33, 60, 90, 300]))) for i in range(600)]
+    place = {i: p for p, i in enumerate(rng.sample(range(600), 600))}
+    docs = spark.createDataFrame([(i, t, place[i]) for i, t in rows], "doc_id long, text string, place int")
+    pieces = packing.packed(docs, PATH, size=256, order="place").collect()
+    assert check(rows, pieces, 256) < 0.03
+    firsts = {}
+    for p in pieces:
+        firsts[p.sequence_id] = min(firsts.get(p.sequence_id, 600), place[p.doc_id])
+    assert sorted(firsts) == list(range(len(firsts)))
+    assert [firsts[k] for k in sorted(firsts)] == sorted(firsts.values())
+    apart = [place[p.doc_id] - firsts[p.sequence_id] for p in pieces]
+    assert np.mean(apart) < 60  # of 600 places; about 200 where documents are dealt by hash
+
+
 def test_linear_program_meets_the_bound():
     sizes, counts = np.array([3, 5, 7, 11]), np.array([40.0, 25, 30, 17])
     found = packing.patterns(sizes, counts, 20, gap=1e-9)

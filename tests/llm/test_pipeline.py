@@ -52,3 +52,26 @@ def test_equals_the_stages_in_plain_python(spark, tmp_path):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
     assert corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_packing_follows_the_mix(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):  # the hot source has five of six documents and, by the square root, about sqrt(5) of sqrt(5) + 1 shares
+        text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(rng.randint(40, 200)))
+        rows.append((i, text, "en", "cold" if i >= 500 else "hot", len(text)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def tokens():
+        found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        last = max(r.sequence_id for r in found)
+        early = [r for r in found if r.sequence_id < last // 3]
+        return {(r.doc_id, r.start, r.sequence_id, r.offset) for r in found}, sum(r.length for r in early if r.doc_id >= 500) / sum(r.length for r in early)
+
+    mixed, cold = tokens()
+    assert abs(cold - 1 / (5**0.5 + 1)) < 0.1  # dealt by hash, it would be 1 / 6
+    stages = [(n, (lambda spark, docs, sf_dir: docs) if n == "mixing" else f) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    plain, _ = tokens()
+    assert plain != mixed
