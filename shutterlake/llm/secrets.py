@@ -7,7 +7,8 @@ that no rule tells apart. A text is scanned in one pass over its bytes; where a
 rule accepts, an automaton of the reversed rule gives the leftmost start. In the
 texts that the pass has marked, an exact check then decides which spans are the
 leftmost non-overlapping ones of the base rules; spans beside those, and those of
-the other rules, are added.
+the other rules, are added. A private key's span begins at the header that the
+automaton finds; what belongs to the key behind it is read on from there.
 """
 
 from __future__ import annotations
@@ -33,6 +34,16 @@ KINDS = tuple(k for k, _ in RULES)
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']? *+[:=] *+["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
+#: Behind a header: all up to the END line, if no other line of five dashes comes first ...
+_KEY = re.compile(r"(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----")
+#: ... or else lines of base64, also with written-out line breaks, and one shorter line right behind them; padding ends them.
+_GAP, _STOP = r"(?:\s|\\[nr])++", r"""(?=[ \t]*(?:[\r\n]|\Z|\\[nr]|["'`]))"""
+_LINES = re.compile(
+    rf"(?:{_GAP}(?:Proc-Type|DEK-Info): [!-\[\]-~]+)*"
+    rf"(?:(?<!=){_GAP}(?:[A-Za-z0-9+/]{{40,}}+=*+|[A-Za-z0-9+/]{{16,}}+=*+{_STOP}))+"
+    rf"(?:(?<!=)[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]++=*+{_STOP})?"
+)
+PEM = KINDS.index("pem")
 
 
 class _Parser:
@@ -279,6 +290,12 @@ def base_spans(text: str, marked: set[int]) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def key_end(text: str, header_end: int) -> int:
+    """Where the private key ends whose header ends at ``header_end``."""
+    m = _KEY.match(text, header_end) or _LINES.match(text, header_end)
+    return m.end() if m else header_end
+
+
 def find(text: str | None, scanner: Scanner) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those with what the automaton finds beside them (same kind: outside; other kinds: all)."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -289,6 +306,7 @@ def find(text: str | None, scanner: Scanner) -> tuple[list[tuple[int, int, int]]
     if not text.isascii():
         at = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))
         found = [(at(a), k, at(b)) for a, k, b in found]
+    found = [(a, k, key_end(text, b) if k == PEM else b) for a, k, b in found]
     more = [(a, k, b) for a, k, b in found if all(k != y or b <= s or e <= a for s, y, e in base)]
     return base, sorted(base + more)
 
