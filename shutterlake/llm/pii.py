@@ -1,7 +1,8 @@
 """Personal data in texts: plain patterns, and a semi-Markov conditional random field that adds to them.
 
 The patterns (``base_spans``) fix which spans are always reported. The model
-looks at the text around digits and at signs: it scores whole candidate
+looks at the text around digits and at signs, written out ones too, and on to the
+ends of address-like runs there: it scores whole candidate
 segments of at most ``MAX_ATOMS`` atoms with features of the span as a whole
 (grammar, checksum, digit count, separators, edges, the word before), and
 dynamic programming chooses boundaries and types jointly. Spans it finds beside
@@ -37,7 +38,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9]+|@|[\[(]at[\])]")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]*+")
+#: What of an address can follow its at sign.
+_BEHIND = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)*+")
 _ATOM = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+"),
@@ -80,15 +84,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def islands(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches in which a segment can lie: AROUND characters on both sides of digits and at signs."""
-    m = _TRIGGER.search(text)
-    while m:
-        start, end = max(0, m.start() - AROUND), m.end() + AROUND
-        m = _TRIGGER.search(text, m.end())
-        while m and m.start() <= end + AROUND:
-            end = m.end() + AROUND
-            m = _TRIGGER.search(text, m.end())
-        yield start, min(len(text), end)
+    """The stretches in which a segment can lie: on both sides of digits and at signs AROUND characters, on to the ends of address-like runs."""
+    start, end, far = 0, -1, -1
+    for m in _TRIGGER.finditer(text):
+        low, high = m.start() - AROUND, m.end() + AROUND
+        if not m[0].isdigit() and (behind := _BEHIND.match(text, m.end())):
+            high = max(high, behind.end())
+        if low > end:  # else the stretch goes on
+            far = _ADDRESS.match(text, end).end() if end >= 0 else -1
+            if low > far:
+                if end >= 0:
+                    yield start, far
+                start = max(0, low)
+                while start > far + 1 and text[start - 1] in _LOCAL:
+                    start -= 1
+        end = max(end, far, high)
+    if end >= 0:
+        yield start, _ADDRESS.match(text, min(end, len(text))).end()
 
 
 def features(text: str, start: int, end: int, kind: str) -> tuple[str, ...] | None:

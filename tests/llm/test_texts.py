@@ -90,6 +90,35 @@ def test_the_field_adds_other_spellings():
     assert pii.find("on 2020-01-02 10:20:30 now", weights)[1] == []
 
 
+def test_addresses_are_found_whole():
+    rng, cases = random.Random(7), []
+    for k in range(60):
+        text = rng.choice([f"mail ab.cd{k}@mail.example.org now", f"at 10.1.2.{k} now", f"from ab@c{k}.example.org.", "on 2021-03-04 12:33:10 now"])
+        gold = pii.base_spans(text)
+        cases += [(text, gold), pii.rewritten(text, gold, rng)]
+    weights = pii.fit(cases)
+    long = "mail.department.university.example.org"
+    for address in ("jane.doe[at]example.org", "jane.doe(at)example.org", "first.middle.lastname.department @ example.org", f"bob @ {long}", f"bob[at]{long}", f"first.middle.lastname.department(at){long}"):
+        for before, after in (("please write to ", " for more of it"), ("", ""), ("and " * 30, " and" * 30)):
+            text = before + address + after
+            assert pii.find(text, weights)[1] == [(len(before), 0, len(before + address))], text
+
+
+def test_islands_neither_overlap_nor_cut_runs():
+    rng, parts = random.Random(9), ["a", "bc.d", " ", " ", "1", "@", "[at]", "(dot)", "-", "é", ",", "xyz" * 9, " word word word word "]
+    for _ in range(4000):
+        text, last = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40))), 0
+        inside = set()
+        for start, end in pii.islands(text):
+            assert last <= start < end <= len(text)
+            assert start in (0, last) or not (text[start - 1] in pii._LOCAL and text[start] in pii._LOCAL)
+            assert end == len(text) or text[end] not in pii._LOCAL
+            inside |= set(range(start, end))
+            last = end
+        for m in pii._TRIGGER.finditer(text):
+            assert set(range(max(0, m.start() - pii.AROUND), min(len(text), m.end() + pii.AROUND))) <= inside, text
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Іd1ot 123 st​up​id") == " idiot     stupid "
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " lowe": 4.0}, ("no idiot",))
