@@ -39,6 +39,27 @@ def test_lanes_are_shared_by_small_sources_and_tables_may_be_empty(spark, monkey
     assert mixing.mixed(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 5, "s2": 5, "s3": 4, "s4": 2, "s5": 2, "s6": 1, "s7": 1, "s8": 1, None: 3}])
+def test_sources_that_share_a_lane_keep_to_their_own_weights(spark, monkeypatch, weights):
+    monkeypatch.setattr(mixing, "LANES", 3)
+    monkeypatch.setattr(mixing, "PARTS", 2)
+    sizes = {f"s{k}": 60 if k < 3 else 40 if k < 6 else 20 for k in range(9)} | {None: 30}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=2).collect()
+    assert sorted((r.doc_id, r.source or "") for r in got) == sorted((i, s or "") for i, s in rows)
+    assert len({r.mix_position for r in got}) == len(rows)
+    assert all(r.mix_position_release <= r.mix_position // 2 < r.mix_position_deadline for r in got)
+    own = weights or {s: n**0.5 for s, n in sizes.items()}
+    total, pool = sum(own.values()), sum(own[s] for s in list(sizes)[3:])
+    last = min(max(r.mix_position for r in got if r.source == s) for s in sizes) // 2
+    for s in sizes:
+        # the share of all slots, and of those of the lane, within a block each
+        slots = sorted({r.mix_position // 2 for r in got if r.source == s})
+        bound = 1.1 if s in ("s0", "s1", "s2") else 1 + own[s] / pool + 0.1
+        for t in range(1, last + 1):
+            assert abs(sum(x < t for x in slots) - t * own[s] / total) < bound, (s, t)
+
+
 def py_tree(text):
     h = lambda s: hashlib.md5(s.encode()).hexdigest()[:16]
     return [[[h(p[i : i + merkle.BLOCK]) for i in range(0, len(p), merkle.BLOCK)] for p in s.split("\n")] for s in (text or "").split("\n\n")]
