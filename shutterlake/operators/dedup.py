@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.exprs import duplicate_base, hamming, hash_value, similarity
 
-PHASH_BITS, DHASH_BITS = 10, 8
-
+from .scratch import Stored, scratch
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder and read again, which cuts the lineage."""
-    spark = df.sparkSession
-    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/dedup-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+PHASH_BITS, DHASH_BITS = 10, 8
 
 
 def groups(rows: DataFrame, key: Column, member: str) -> DataFrame:
@@ -77,16 +68,21 @@ def stars(pairs: DataFrame) -> DataFrame:
     smallest neighbouring seed otherwise. Each round decides the rows whose
     earlier neighbours are all decided or include a seed.
     """
-    pairs = stored(pairs.select("a", "b"))
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    state = stored(nodes.select("id", F.lit(None).cast("boolean").alias("is_seed")))
-    while not state.where("is_seed is null").isEmpty():
-        below = pairs.join(state.toDF("a", "s"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("caught"), F.bool_and(F.col("s").isNotNull()).alias("known"))
-        new = F.when(F.col("is_seed").isNotNull(), F.col("is_seed")).when(F.coalesce("caught", F.lit(False)), F.lit(False)).when(F.coalesce("known", F.lit(True)), F.lit(True))
-        state = stored(state.join(below, "id", "left").select("id", new.alias("is_seed")))
-    seeds = state.where("is_seed").select(F.col("id").alias("a"))
-    caught = state.where("not is_seed").select(F.col("id").alias("b"))
-    return pairs.join(seeds, "a").join(caught, "b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("seed"))
+    with scratch() as kept:
+        edges = Stored(pairs.select("a", "b"), "pairs").df
+        nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+        state = Stored(nodes.select("id", F.lit(None).cast("boolean").alias("is_seed")), "state")
+        while not state.df.where("is_seed is null").isEmpty():
+            below = edges.join(state.df.toDF("a", "s"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("caught"), F.bool_and(F.col("s").isNotNull()).alias("known"))
+            new = F.when(F.col("is_seed").isNotNull(), F.col("is_seed")).when(F.coalesce("caught", F.lit(False)), F.lit(False)).when(F.coalesce("known", F.lit(True)), F.lit(True))
+            later = Stored(state.df.join(below, "id", "left").select("id", new.alias("is_seed")), "state")
+            state.drop()
+            state = later
+        seeds = state.df.where("is_seed").select(F.col("id").alias("a"))
+        caught = state.df.where("not is_seed").select(F.col("id").alias("b"))
+        out = Stored(edges.join(seeds, "a").join(caught, "b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("seed")), "stars")
+        kept.append(out)
+    return out.df
 
 
 def perceptual(rows: DataFrame, pairs: DataFrame | None = None, in_exact: DataFrame | None = None) -> DataFrame:
