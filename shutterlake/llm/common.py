@@ -7,35 +7,22 @@ with node-local checkpoints.
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from shutterlake.operators.scratch import Stored, scratch, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="shutterlake-"))
-        atexit.register(shutil.rmtree, _own_dir[0], True)
-    return f"file://{_own_dir[0]}"
-
-
 #: What Python workers get at once: so many rows and bytes at most, so that neither many rows nor long texts need much memory.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
@@ -63,30 +50,27 @@ def small_batches(spark: SparkSession):
                 spark.conf.set(key, value)
 
 
-class Stored:
-    """A table written to the shared folder; ``df`` reads it and ``drop`` removes it."""
-
-    def __init__(self, df: DataFrame, what: str):
-        spark = df.sparkSession
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished stages, which go when their handles are collected."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later stages restart from it."""
-    return Stored(df, what).df
+def by_batch(build: Callable[[], Callable[[pa.RecordBatch], dict]], types: dict[str, pa.DataType]):
+    """For mapInArrow: ``build`` makes a worker's function from batches to columns (Arrow arrays or lists).
+
+    Arrow keeps ids whole: pandas would read a batch with a null among its ids as doubles.
+    """
+    schema = pa.schema(list(types.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = build()
+        for batch in batches:
+            columns = work(batch)
+            arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in ((columns[n], t) for n, t in types.items())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return run
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -138,9 +122,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Col
     """About ``rows`` labelled training rows (doc_id, text, y), at most twice as many, chosen by a hash of doc_id.
 
     Only this bounded list of ids is broadcast. Labels that are null, or that
-    contradict each other for one doc_id, are left out.
+    contradict each other for one doc_id, are left out. Of rows that repeat a
+    doc_id the smallest text stands for all, so there is one row for each id.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     share = int(min(1.0, rows / max(1, labels.count())) * 1_000_000) + 1
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share).select("doc_id", F.col("y").cast("int").alias("y")).limit(2 * rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    place = F.xxhash64("doc_id", F.lit(11))
+    some = known.where(F.pmod(place, F.lit(1_000_000)) < share).orderBy(place, "doc_id").select("doc_id", F.col("y").cast("int").alias("y")).limit(2 * rows)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

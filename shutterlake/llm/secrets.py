@@ -3,37 +3,42 @@
 The rules' regular expressions become one nondeterministic automaton, subset
 construction makes it deterministic and partition refinement minimal. Its
 transition array has a row for each state and a column for each class of bytes
-that no rule tells apart. A text is scanned in one pass over its bytes; where a
-rule accepts, an automaton of the reversed rule gives the leftmost start. In the
-texts that the pass has marked, an exact check then decides which spans are the
-leftmost non-overlapping ones of the base rules; spans beside those, and those of
-the other rules, are added. A private key's span begins at the header that the
-automaton finds; what belongs to the key behind it is read on from there.
+that no rule tells apart. A text is scanned in one pass over its bytes, which
+gives the rules that accept at each of them. Where a rule ceases to accept a match
+ends; the automaton of the reversed rule, run back from there to the end of the
+match before, gives the leftmost start. These are the leftmost non-overlapping
+matches, as each rule accepts from its shortest match on to the end of the longest.
+A base match whose value is too short is dropped, but what lies in it is not tried
+again; matches that begin in such a one are added beside the base spans, like those
+of the other rules. A private key's span begins at the header that the automaton
+finds; what belongs to the key behind it is read on from there.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import accumulate
+from operator import getitem, itemgetter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .pii import searched
+
 BASE = ("assign", "access", "hex")
 #: (kind, expression); literals, classes, groups, |, ?, *, +, {m,} and (?i:...) are understood.
 RULES = (
-    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8,}"""),
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+"""),
     ("access", r"AKIA[A-Z0-9]{12,}"),
     ("hex", r"[0-9a-f]{32,}"),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 KINDS = tuple(k for k, _ in RULES)
 
-_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']? *+[:=] *+["']?([A-Za-z0-9+/_.=-]+)""", re.A)
-_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
+#: Characters that an assigned value has at least.
+VALUE = 8
 #: Behind a header: all up to the END line, if no other line of five dashes comes first ...
 _KEY = re.compile(r"(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----")
 #: ... or else lines of base64, also with written-out line breaks, and one shorter line right behind them; padding ends them.
@@ -43,7 +48,7 @@ _LINES = re.compile(
     rf"(?:(?<!=){_GAP}(?:[A-Za-z0-9+/]{{40,}}+=*+|[A-Za-z0-9+/]{{16,}}+=*+{_STOP}))+"
     rf"(?:(?<!=)[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]++=*+{_STOP})?"
 )
-PEM = KINDS.index("pem")
+ASSIGN, PEM = KINDS.index("assign"), KINDS.index("pem")
 
 
 class _Parser:
@@ -205,12 +210,14 @@ def compile_rules(trees: list, anywhere: bool) -> Automaton:
 
 def minimised(classes: bytes, follow: np.ndarray, accepts: np.ndarray) -> Automaton:
     """States are split by what they accept, then by the parts their transitions lead to, until nothing splits."""
-    _, part = np.unique(accepts, return_inverse=True)
+    part = np.unique(accepts, return_inverse=True)[1].reshape(-1)
     while True:
-        _, finer = np.unique(np.column_stack([part, part[follow]]), axis=0, return_inverse=True)
+        finer = part
+        for own in follow.T:  # one class of bytes at a time: pairs of numbers are numbered anew
+            finer = np.unique(finer * len(part) + part[own], return_inverse=True)[1].reshape(-1)
         if finer.max() == part.max():
             break
-        part = finer.reshape(-1)
+        part = finer
     _, sample = np.unique(part, return_index=True)
     order = np.argsort(sample)  # the start state comes first
     rank = np.empty_like(order)
@@ -230,64 +237,71 @@ class Scanner:
         return {"forward": self.forward, "backward": self.backward}
 
     def rows(self) -> None:
-        """Transition rows as lists that refer to each other: a state is its row. Rows that accept lead to themselves, for a first pass that only asks whether any rule matches."""
+        """Transition rows as lists that refer to each other: a state is its row, whose last entry has the rules that accept there."""
         f = self.forward
-        self.stop = [[] for _ in f.next]
-        for s, row in enumerate(self.stop):
-            row.extend([row] * f.next.shape[1] if f.accepts[s] else [self.stop[t] for t in f.next[s]])
-        self.accepting = {id(self.stop[s]) for s in np.flatnonzero(f.accepts)}
-        self.table, self.bits = f.next.tolist(), f.accepts.tolist()
-
-    def marked(self, data: bytes) -> bool:
-        row = self.stop[0]
-        for c in data:
-            row = row[c]
-        return id(row) in self.accepting
-
-    def matches(self, raw: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end), bytes: for each stretch of ends at which a rule accepts, the last of them with its leftmost start."""
-        if not hasattr(self, "stop"):
+        states = [[] for _ in f.next]
+        for row, follow, bits in zip(states, f.next.tolist(), f.accepts.tolist(), strict=True):
+            row.extend(states[t] for t in follow)
+            row.append(bits)
+        self.start = states[0]
+        self.back = []
+        for b in self.backward:
+            dead = [(row == s).all() and not b.accepts[s] for s, row in enumerate(b.next)]
+            self.back.append((b.classes, b.next.tolist(), b.accepts.tolist(), dead))
+
+    def ends(self, raw: bytes) -> list[tuple[int, int]]:
+        """(end, rule) of each stretch of bytes behind which the rule accepts, in order. One pass over the bytes for all rules."""
+        if not hasattr(self, "start"):
             self.rows()
-        data = raw.translate(self.forward.classes)
-        if not self.marked(data):
+        states = accumulate(raw.translate(self.forward.classes), getitem, initial=self.start)
+        bits = bytes(map(itemgetter(-1), states))
+        if not bits.strip(b"\0"):
             return []
-        ends: list[tuple[int, int]] = []
-        table, bits, state, before = self.table, self.bits, 0, 0
-        for at, c in enumerate(data):
-            state = table[state][c]
-            now = bits[state]
-            if before & ~now:
-                ends += [(k, at) for k in range(len(self.backward)) if (before & ~now) >> k & 1]
-            before = now
-        ends += [(k, len(data)) for k in range(len(self.backward)) if before >> k & 1]
-        out = []
-        for k, end in ends:
-            back, state, start, dead = self.backward[k], 0, end, self.dead(k)
-            for at in range(end - 1, -1, -1):
-                state = back.next[state, back.classes[raw[at]]]
-                if back.accepts[state]:
-                    start = at
-                elif state == dead:
-                    break
-            out.append((start, k, end))
-        return sorted(out)
-
-    def dead(self, k: int) -> int:
-        back = self.backward[k]
-        stuck = [s for s in range(len(back.next)) if (back.next[s] == s).all() and not back.accepts[s]]
-        return stuck[0] if stuck else -1
-
-
-def base_spans(text: str, marked: set[int]) -> list[tuple[int, int, int]]:
-    """The exact check for the base rules that the automaton has marked: leftmost, non-overlapping, failing ones dropped."""
-    out = []
-    if 0 in marked:
-        out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
-    if 1 in marked:
-        out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
-    if 2 in marked:
-        out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    return sorted(out)
+        now = np.frombuffer(bits + b"\0", np.uint8)
+        stops = now[:-1] & ~now[1:]
+        return [(int(at), k) for at in np.flatnonzero(stops) for k in range(len(self.back)) if stops[at] >> k & 1]
+
+    def leftmost(self, raw: bytes, rule: int, end: int, least: int) -> int:
+        """Where the longest match of the rule that ends at ``end`` and begins at ``least`` or later begins; -1 if there is none."""
+        classes, follow, accepts, dead = self.back[rule]
+        state, start = 0, -1
+        for at in range(end - 1, least - 1, -1):
+            state = follow[state][classes[raw[at]]]
+            if accepts[state]:
+                start = at
+            elif dead[state]:
+                break
+        return start
+
+    def matches(self, raw: bytes) -> list[tuple[int, int, int, bool]]:
+        """(start, rule, end, whether it is one of the leftmost non-overlapping matches of its rule), bytes."""
+        out, done = [], [0] * len(self.backward)
+        for end, k in self.ends(raw):
+            start = self.leftmost(raw, k, end, done[k])
+            own = start >= 0
+            if not own:  # it begins in the match before
+                start = self.leftmost(raw, k, end, 0)
+            else:
+                done[k] = end
+            out.append((start, k, end, own))
+        return out
+
+
+@cache
+def scanner_of(rules=RULES) -> Scanner:
+    """Built once for a process."""
+    return Scanner(rules)
+
+
+def value_size(raw: bytes, start: int, end: int) -> int:
+    """Of an assignment's value, in bytes: what follows the first sign of assignment, blanks and a quote."""
+    at = start
+    while raw[at] not in b":=":
+        at += 1
+    at += 1
+    while raw[at] == 32:
+        at += 1
+    return end - at - (raw[at] in b"\"'")
 
 
 def key_end(text: str, header_end: int) -> int:
@@ -296,18 +310,31 @@ def key_end(text: str, header_end: int) -> int:
     return m.end() if m else header_end
 
 
+def _in_code_points(text: str, raw: bytes, offsets: list[int]) -> dict[int, int]:
+    """Byte offset -> code point offset."""
+    if text.isascii():
+        return {n: n for n in offsets}
+    out, at, points = {}, 0, 0
+    for n in sorted(offsets):
+        points += len(raw[at:n].decode("utf-8", "surrogatepass"))
+        out[n], at = points, n
+    return out
+
+
 def find(text: str | None, scanner: Scanner) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those with what the automaton finds beside them (same kind: outside; other kinds: all)."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
-    found = scanner.matches(raw)
+    found = [m for m in scanner.matches(raw) if m[1] != ASSIGN or value_size(raw, m[0], m[2]) >= VALUE]
     if not found:
         return [], []
-    base = base_spans(text, {k for _, k, _ in found})
-    if not text.isascii():
-        at = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))
-        found = [(at(a), k, at(b)) for a, k, b in found]
-    found = [(a, k, key_end(text, b) if k == PEM else b) for a, k, b in found]
-    more = [(a, k, b) for a, k, b in found if all(k != y or b <= s or e <= a for s, y, e in base)]
+    at = _in_code_points(text, raw, [n for a, _, b, _ in found for n in (a, b)])
+    base = sorted((at[a], k, at[b]) for a, k, b, own in found if own and KINDS[k] in BASE)
+    more, taken = [], [0] * len(KINDS)  # matches of a rule come in the order of their ends
+    for a, k, b, own in found:
+        if own and KINDS[k] in BASE:
+            taken[k] = b
+        elif KINDS[k] not in BASE or a >= taken[k]:
+            more.append((at[a], k, key_end(text, at[b]) if k == PEM else at[b]))
     return base, sorted(base + more)
 
 
@@ -315,23 +342,16 @@ def secrets(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, base and spans, arrays of (kind, start, end) in code points.
 
     A null text counts as empty and has no spans. Rows that repeat are each
-    scanned, an empty table gives an empty result, other columns are ignored.
+    scanned, a null doc_id stays null, an empty table gives an empty result, other
+    columns are ignored.
     """
-    scanner = scanner or Scanner()
-    span = "array<struct<kind:string,start:int,end:int>>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        named = lambda spans: [{"kind": KINDS[y], "start": a, "end": b} for a, y, b in spans]
-        for batch in batches:
-            found = [find(t, scanner) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": [named(x) for x, _ in found], "spans": [named(x) for _, x in found]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, base {span}, spans {span}")
+    scanner = scanner or scanner_of()
+    return searched(docs, KINDS, lambda: lambda text: find(text, scanner))
 
 
 def redacted(docs: DataFrame, scanner: Scanner | None = None, label: str = "[{kind}]") -> DataFrame:
     """``docs`` with each secret (overlapping spans as one) replaced by its kind's label; other columns stay, n_chars follows if it is there."""
-    scanner = scanner or Scanner()
+    scanner = scanner or scanner_of()
     schema, has_size = docs.schema, "n_chars" in docs.columns
 
     def clean(text: str | None) -> str | None:
