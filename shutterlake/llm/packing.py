@@ -20,16 +20,15 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
 from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, release
+from .common import Stored, by_batch, release, scratch
 
 SIZE = 4096
 UNIT, SHORT = 8, 64
@@ -40,6 +39,7 @@ PARTS, PART_ROWS = 256, 200_000
 #: With an order, a part is a stretch of so many places.
 PART_PLACES = 1 << 14
 
+CUT = ("doc_id", "crc", "start", "length", "ids_crc32")
 TOKENS = "doc_id long, place long, n long, crc long, chunk_crcs array<long>, tail_crc long"
 
 
@@ -110,54 +110,132 @@ class Ids(dict):
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes within the capacity: its value and how often it has each."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """The most valuable multiset of sizes (ascending) within the capacity: its value and how often it has each."""
+    best, last = np.zeros(capacity + 1), [-1] * (capacity + 1)
+    # best[room - sizes] for growing rooms is one gather from a shifted copy of sizes
+    fits, back = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist(), -sizes
+    top = 0.0
     for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(sizes, room, "right"))
-        best[room] = best[room - 1]
-        if fits:
-            value = best[room - sizes[:fits]] + prices[:fits]
+        if n := fits[room]:
+            value = best[back[:n] + room]
+            value += prices[:n]
             k = int(value.argmax())
-            if value[k] > best[room] + 1e-12:
-                best[room], last[room] = value[k], k
+            if (v := float(value[k])) > top + 1e-12:
+                top, last[room] = v, k
+        best[room] = top
     times, room = np.zeros(len(sizes), np.int64), capacity
     while room > 0:
         if last[room] < 0:
             room -= 1
         else:
             times[last[room]] += 1
-            room -= sizes[last[room]]
+            room -= int(sizes[last[room]])
     return float(best[capacity]), times
 
 
-def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 4000) -> list[tuple[float, np.ndarray]]:
-    """The linear program's (how often, times of each size), by revised simplex; ends when the bound is within ``gap``."""
+def _fullest(sizes: list[int], alive: list[int], room: int) -> list[int]:
+    """Which of the ``alive`` sizes (numbers, ascending sizes) fill the most of ``room``, longest first; the knapsack whose prices are the sizes, over bits."""
+    mask, sums = (1 << (room + 1)) - 1, 1
+    for k in alive:
+        if (step := sizes[k]) > room:
+            break
+        while step <= room:  # 1, 2, 4, ... of them
+            sums |= (sums << step) & mask
+            step *= 2
+    taken, left = [], sums.bit_length() - 1
+    for k in reversed(alive):
+        while sizes[k] <= left and sums >> (left - sizes[k]) & 1:
+            taken.append(k)
+            left -= sizes[k]
+    return taken
+
+
+class _Master:
+    """The restricted linear program: a basis of patterns, its inverse, and how often each is used. No BLAS: its threads stall beside a busy JVM."""
+
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, capacity: int):
+        self.counts = counts
+        self.columns = np.diag(capacity // sizes).astype(float)
+        self.inverse = np.diag(1 / np.diag(self.columns))
+        self.use = counts / np.diag(self.columns)
+
+    def direction(self, times: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(times)
+        return (self.inverse[:, some] * times[some]).sum(1)
+
+    def put(self, out: int, times: np.ndarray, d: np.ndarray) -> None:
+        """The pattern takes the place of the basis' column ``out``."""
+        self.columns[:, out] = times
+        row = self.inverse[out] / d[out]
+        some = np.flatnonzero(np.abs(d) > 1e-13)
+        self.inverse[some] -= d[some][:, None] * row
+        self.inverse[out] = row
+
+    def enter(self, times: np.ndarray) -> None:
+        d = self.direction(times)
+        ratio = np.full(len(d), np.inf)
+        up = d > 1e-9
+        ratio[up] = self.use[up] / d[up]
+        out = int(ratio.argmin())
+        step = ratio[out]
+        self.use = np.maximum(self.use - step * d, 0)
+        self.use[out] = step
+        self.put(out, times, d)
+
+    def renew(self) -> None:
+        """One step against what has added up: the uses are corrected by the basis' residual."""
+        for _ in range(2):
+            rest = self.counts - (self.columns * self.use).sum(1)
+            self.use = self.use + (self.inverse * rest).sum(1)
+        self.use = np.maximum(self.use, 0)
+
+
+def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 1500) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """The linear program's (how often, times of each size), by column generation, and a proven lower bound of their sum.
+
+    The first basis comes from the knapsack at the prices that lengths have as
+    material: the longest length left is filled up with others, and the pattern is
+    used until one of its lengths is out. Then simplex prices, drawn to those of the
+    best bound so far, price new patterns by dynamic programming. It ends when the
+    sum is within ``gap`` of the bound, or after ``rounds`` patterns: what is not
+    packed well then is laid end to end like all that rounding leaves.
+    """
     m = len(sizes)
     if not m:
-        return []
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1 / np.diag(columns))
-    use = inverse @ counts
+        return [], 0.0
+    master, lengths, left = _Master(sizes, counts, capacity), [int(s) for s in sizes], counts.astype(float)
+    alive = list(range(m))
+    while alive:
+        times = np.zeros(m, np.int64)
+        times[alive[-1]] = 1
+        np.add.at(times, _fullest(lengths, alive, capacity - lengths[alive[-1]]), 1)
+        some = np.flatnonzero(times)
+        ratio = left[some] / times[some]
+        out = int(some[ratio.argmin()])
+        left[some] -= ratio.min() * times[some]
+        master.put(out, times, master.direction(times))
+        master.use[out] = ratio.min()
+        alive.remove(out)
+    centre = sizes / capacity
+    bound = float((counts * centre).sum())
     for turn in range(rounds):
-        prices = inverse.sum(0)
-        value, times = knapsack(np.maximum(prices, 0), sizes, capacity)
-        if value <= 1 + gap:
+        prices, pull = np.maximum(master.inverse.sum(0), 0), 0.8
+        while True:
+            asked = pull * centre + (1 - pull) * prices
+            value, times = knapsack(asked, sizes, capacity)
+            if (low := float((counts * asked).sum()) / max(value, 1e-9)) > bound:
+                bound, centre = low, asked / value
+            worth = float((prices * times).sum())
+            if worth > 1 + 1e-9 or not pull:
+                break
+            pull = 0.0 if pull < 0.3 else pull / 2
+        if master.use.sum() <= bound * (1 + gap) or worth <= 1 + 1e-9:
             break
-        d = inverse @ times
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(d > 1e-9, use / d, np.inf)
-        out = int(ratio.argmin())
-        step = ratio[out]
-        use = np.maximum(use - step * d, 0)
-        use[out] = step
-        columns[:, out] = times
-        inverse[out] /= d[out]
-        d[out] = 0
-        inverse -= np.outer(d, inverse[out])
-        if turn % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            use = np.maximum(inverse @ counts, 0)
-    return [(float(use[p]), columns[:, p].astype(np.int64)) for p in range(m) if use[p] > 1e-9]
+        master.enter(times)
+        if turn % 100 == 99:
+            master.renew()
+    master.renew()
+    return [(float(master.use[p]), master.columns[:, p].astype(np.int64)) for p in range(m) if master.use[p] > 1e-9], bound
 
 
 def dealt(bins: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -166,7 +244,7 @@ def dealt(bins: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, in
     sizes, counts = np.array(order, np.int64), np.array([bins[b] for b in order], float)
     capacity = size // UNIT
     left, rows, sequences = dict(bins), [], 0
-    for use, times in sorted(patterns(sizes, counts, capacity), key=lambda p: (-p[0], tuple(p[1]))):
+    for use, times in sorted(patterns(sizes, counts, capacity)[0], key=lambda p: (-p[0], tuple(p[1]))):
         whole = int(use + 1e-6)
         whole = min([whole, *(left[order[k]] // int(times[k]) for k in np.flatnonzero(times))])
         if whole and (times @ sizes) >= FILL * capacity:
@@ -219,31 +297,38 @@ def _numbered(pieces: DataFrame) -> DataFrame:
 
 
 def _tokenised(model, end: int, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build():
         ids, width = Ids(model.value, end), 4 * size
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> dict:
             rows = []
-            for doc, place, text in zip(batch["doc_id"], batch["place"], batch["text"], strict=True):
+            for text in batch.column("text").to_pylist():
                 raw = ids.of(text)
                 full = len(raw) // width
-                rows.append((doc, place, len(raw) // 4, zlib.crc32(raw), [zlib.crc32(raw[k * width : (k + 1) * width]) for k in range(full)], zlib.crc32(raw[full * width :])))
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "n", "crc", "chunk_crcs", "tail_crc"]).astype({"doc_id": "Int64"})
+                rows.append((len(raw) // 4, zlib.crc32(raw), [zlib.crc32(raw[k * width : (k + 1) * width]) for k in range(full)], zlib.crc32(raw[full * width :])))
+            n, crc, chunks, tail = zip(*rows, strict=True) if rows else ((),) * 4
+            return {"doc_id": batch.column("doc_id"), "place": batch.column("place"), "n": n, "crc": crc, "chunk_crcs": chunks, "tail_crc": tail}
+
+        return work
 
-    return run
+    return by_batch(build, {"doc_id": pa.int64(), "place": pa.int64(), "n": pa.int64(), "crc": pa.int64(), "chunk_crcs": pa.list_(pa.int64()), "tail_crc": pa.int64()})
 
 
 def _cut(model, end: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build():
         ids = Ids(model.value, end)
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> dict:
             rows = []
-            for doc, text, crc, cuts in zip(batch["doc_id"], batch["text"], batch["crc"], batch["cuts"], strict=True):
+            for doc, text, crc, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "crc", "cuts")), strict=True):
                 raw = ids.of(text)
                 if zlib.crc32(raw) == crc:
                     rows += [(doc, crc, c["start"], c["length"], zlib.crc32(raw[4 * c["start"] : 4 * (c["start"] + c["length"])])) for c in cuts]
-            yield pd.DataFrame(rows, columns=["doc_id", "crc", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            return dict(zip(CUT, zip(*rows, strict=True) if rows else ((),) * len(CUT), strict=True))
 
-    return run
+        return work
+
+    return by_batch(build, dict.fromkeys(CUT, pa.int64()))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2, order: str | None = None) -> DataFrame:
@@ -253,12 +338,20 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2,
     null or empty text is its end id alone. Rows that repeat a doc_id are packed
     one by one. An empty table gives no pieces; other columns are ignored.
     ``order`` names a column of places (whole numbers, none negative): sequences
-    then follow it. Without it documents are dealt by hash.
+    then follow it. Without it documents are dealt by hash. The result is a table
+    in the shared folder; the others written for it are dropped.
     """
+    with scratch() as kept:
+        out = Stored(_packed(docs, tokenizer_path, size, end, order), "packed")
+        kept.append(out)
+    return out.df
+
+
+def _packed(docs: DataFrame, tokenizer_path: str, size: int, end: int, order: str | None) -> DataFrame:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # a vocabulary: its size doesn't depend on the data
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(order) if order else F.lit(0)).cast("long").alias("place"))
-    tokens = Stored(base.mapInPandas(_tokenised(model, end, size), TOKENS), "tokens").df
+    tokens = Stored(base.mapInArrow(_tokenised(model, end, size), TOKENS), "tokens").df
     parts = max(PARTS, tokens.count() // PART_ROWS)
     rows = tokens.withColumns({"full": F.size("chunk_crcs").cast("long"), "tail": F.col("n") - F.size("chunk_crcs") * size, "part": F.expr(f"place div {PART_PLACES}") if order else F.pmod(F.xxhash64("doc_id", "crc"), F.lit(parts)).cast("int")})
     by = ["place", "doc_id", "crc"] if order else ["doc_id", "crc"]
@@ -313,7 +406,7 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2,
     cut = pieces.where("ids_crc32 is null")
     wanted = Stored(cut.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("start", "length")).alias("cuts")), "cuts").df
     texts = base.join(wanted.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "crc", "cuts")
-    crcs = texts.mapInPandas(_cut(model, end), "doc_id long, crc long, start long, length long, ids_crc32 long").distinct().toDF("_d", "_c", "_s", "_l", "found")
+    crcs = texts.mapInArrow(_cut(model, end), "doc_id long, crc long, start long, length long, ids_crc32 long").distinct().toDF("_d", "_c", "_s", "_l", "found")
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("crc") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("length") == F.col("_l"))
     names = ["doc_id", *(["place"] if order else []), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     cut = cut.drop("ids_crc32").join(crcs, on).withColumnRenamed("found", "ids_crc32")

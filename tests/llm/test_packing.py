@@ -1,5 +1,7 @@
 import random
+import time
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -81,12 +83,47 @@ def test_sequences_follow_the_order(spark, monkeypatch):
 
 def test_linear_program_meets_the_bound():
     sizes, counts = np.array([3, 5, 7, 11]), np.array([40.0, 25, 30, 17])
-    found = packing.patterns(sizes, counts, 20, gap=1e-9)
+    found, bound = packing.patterns(sizes, counts, 20, gap=1e-9)
+    assert sum(use for use, _ in found) <= bound * (1 + 1e-6)
     assert np.allclose(sum(use * times for use, times in found), counts)
     assert sum(use for use, _ in found) >= (sizes @ counts) / 20 - 1e-6
     assert all(times @ sizes <= 20 for _, times in found)
 
 
+@pytest.mark.parametrize("low", [8, 90, 150])
+def test_many_lengths_take_little_time_beside_spark(spark, low):
+    rng = np.random.default_rng(low)
+    sizes = np.sort(rng.choice(np.arange(low, 513), min(470, 513 - low), replace=False))
+    counts = rng.integers(1, 400, len(sizes)).astype(float)
+    spark.range(10).count()
+    began = time.perf_counter()
+    found, bound = packing.patterns(sizes, counts, packing.SIZE // packing.UNIT)
+    assert time.perf_counter() - began < 10
+    assert np.allclose(sum(use * times for use, times in found), counts)
+    assert all(times @ sizes <= 512 for _, times in found)
+    assert (sizes @ counts) / 512 <= bound + 1e-6 and sum(use for use, _ in found) <= bound * 1.0005 + 1e-6
+
+
+def test_whole_sequences_of_many_lengths(spark):
+    rng = random.Random(11)
+    rows = [(i, "alpha " * (8 * rng.randint(8, 520) - 1)) for i in range(1500)] + [(2**53 + 1, "beta"), (None, "x"), (7_000_000, "alpha " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    pieces = packing.packed(docs, PATH).collect()
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    used = [sum(n for _, n in own) for own in by.values()]
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == [0, *accumulate(n for _, n in sorted(own))][:-1]
+    assert max(used) <= 4096 and sum(used) == sum(p.length for p in pieces)
+    assert sum(4096 - u for u in used if u & (u - 1)) < 0.02 * sum(used)
+    tokens = {}
+    for p in pieces:
+        tokens[p.doc_id] = tokens.get(p.doc_id, 0) + p.length
+        assert p.doc_tokens > 0
+    assert set(tokens) == {d for d, _ in rows} and tokens[7_000_000] == 30_001
+
+
 def test_cached_words_have_the_tokenizers_ids():
     from array import array
     from pathlib import Path
