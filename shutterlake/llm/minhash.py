@@ -25,14 +25,13 @@ what is still apart. No link between different components is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, WordHashes, ngram_hashes, release, small_batches
+from .common import Stored, WordHashes, by_batch, ngram_hashes, release, scratch, small_batches
 
 SKETCH = 64
 PREFIX = 16
@@ -55,31 +54,38 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
 
 
 def _sets(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build():
         import hashlib
 
         hashes = WordHashes()
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> dict:
             n, keys, sketches = [], [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 own = shingle_set(text, words, hashes)
                 n.append(len(own))
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sketches.append(own[:SKETCH].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_key": keys, "sketch": sketches})
+            return {"doc_id": batch.column("doc_id"), "n": n, "set_key": keys, "sketch": sketches}
 
-    return run
+        return work
+
+    return by_batch(build, {"doc_id": pa.int64(), "n": pa.int64(), "set_key": pa.binary(), "sketch": pa.list_(pa.int64())})
 
 
 def _full_sets(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows with a doc_id; those without words are left out."""
+
+    def build():
         hashes = WordHashes()
-        for batch in batches:
-            full = pd.Series([shingle_set(t, words, hashes).view(np.int64) for t in batch["text"]], dtype=object)
-            some = (full.map(len) > 0).to_numpy()
-            yield pd.DataFrame({"doc_id": batch["doc_id"][some], "full": full.to_numpy()[some]})
 
-    return run
+        def work(batch: pa.RecordBatch) -> dict:
+            found = [(d, own.view(np.int64)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if len(own := shingle_set(t, words, hashes))]
+            return {"doc_id": [d for d, _ in found], "full": [x for _, x in found]}
+
+        return work
+
+    return by_batch(build, {"doc_id": pa.int64(), "full": pa.list_(pa.int64())})
 
 
 def _estimate(percent: int):
@@ -251,9 +257,11 @@ class _Labels:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """See ``_near_duplicates``; all Python work is done when this returns."""
-    with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, percent, words)
+    """See ``_near_duplicates``; all work is done when this returns, and of the tables written for it only the result's is left."""
+    with small_batches(docs.sparkSession), scratch() as kept:
+        found = Stored(_near_duplicates(docs, percent, words), "near")
+        kept.append(found)
+    return found.df
 
 
 def _near_duplicates(docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -268,7 +276,7 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = Stored(base.mapInPandas(_sets(words), SETS), "sets")
+    sets = Stored(base.mapInArrow(_sets(words), SETS), "sets")
     classes = sets.df.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = Stored(classes, "classes")
     first = sets.df.where("n > 0").join(classes.df.toDF("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
@@ -294,7 +302,7 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int) -> DataFrame:
     likely = Stored(scored, "likely")
     listed = lists.df.join(long, "v", "left_semi").select("id")
     wanted = Stored(likely.df.select(F.explode(F.array("a", "b")).alias("doc_id")).union(listed).distinct(), "wanted")
-    full = base.join(wanted.df, "doc_id", "left_semi").mapInPandas(_full_sets(words), "doc_id long, full array<long>")
+    full = base.join(wanted.df, "doc_id", "left_semi").mapInArrow(_full_sets(words), "doc_id long, full array<long>")
     twice = sets.df.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not twice.limit(1).isEmpty():
         full = full.dropDuplicates(["doc_id", "full"])

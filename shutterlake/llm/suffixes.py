@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, WordHashes, ngram_hashes, release
+from .common import Stored, WordHashes, ngram_hashes, release, scratch
 
 LENGTH, SEED = 50, 12
 SIDE = LENGTH - SEED
@@ -183,8 +183,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     make one stretch, other_doc_id is the smallest id found for any of its
     matches. Documents without such a passage have no row. Null and short texts
     and rows without a doc_id take no part; rows that repeat are one document;
-    other columns are ignored.
+    other columns are ignored. The result is a table in the shared folder; the
+    others written for it are dropped.
     """
+    with scratch() as kept:
+        out = Stored(_repeated_passages(docs), "passages")
+        kept.append(out)
+    return out.df
+
+
+def _repeated_passages(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("row", F.xxhash64("doc_id", "text"))
     seeds = Stored(base.mapInPandas(_seeds, "key long, doc_id long, row long, pos int"), "seeds")
     known = seeds.df.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
