@@ -5,7 +5,8 @@ meets each block of queries once, in a task of bounded size. Inside, every
 dimension has a list of the candidates sorted by its component. A query walks
 its lists together, from the top or the bottom by the sign of its own component,
 scores what it meets, and stops when the sum over the lists of what they can
-still give falls below its k-th score. The blocks' answers are merged by a
+still give falls below its k-th score, or when it has met all of the block. Lists
+are read in stretches that double. The blocks' answers are merged by a
 ranking that keeps k rows of each query before the shuffle.
 """
 
@@ -26,29 +27,13 @@ class Lists:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.order = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, self.order, axis=0)
+        self.order = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(self.x.T, self.order, axis=1)
 
     def top(self, queries: np.ndarray, q: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """For each query (score, id) of the k best other candidates, ties to smaller ids.
-
-        A query that has not stopped by the time an eighth of the candidates is
-        scored reads its lists to the end; what those queries then meet is all
-        candidates, so they are scored together. ``read`` has the depth that
-        each query's lists were read to.
-        """
-        n, out = len(self.ids), []
-        self.read = np.zeros(len(queries), np.int64)
-        for r, (query, v) in enumerate(zip(queries, q, strict=True)):
-            out.append(self._until_bound(r, query, v, k))
-        rest = [r for r, found in enumerate(out) if found is None]
-        for at in range(0, len(rest), 256):
-            some = rest[at : at + 256]
-            scores = self.x @ q[some].T
-            for r, own in zip(some, scores.T, strict=True):
-                self.read[r] = n
-                out[r] = self._best(np.flatnonzero(self.ids != queries[r]), own, k)
-        return out
+        """For each query (score, id) of the k best other candidates, ties to smaller ids. ``read`` has the depth that its lists were read to, ``met`` how many candidates it scored."""
+        self.read, self.met = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        return [self._walk(r, query, v, k) for r, (query, v) in enumerate(zip(queries, q, strict=True))]
 
     def _best(self, place: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
         """Of the candidates at ``place``, in ascending order; scores are of all candidates."""
@@ -60,23 +45,29 @@ class Lists:
         order = sorted(range(len(place)), key=lambda i: (-own[i], place[i]))[:k]
         return [(int(own[i]), int(self.ids[place[i]])) for i in order]
 
-    def _until_bound(self, r: int, query: int, q: np.ndarray, k: int) -> list[tuple[int, int]] | None:
+    def _walk(self, r: int, query: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         n, used = len(self.ids), np.flatnonzero(q)
-        up, seen, scores = q[used] > 0, np.zeros(n, bool), np.zeros(n, self.x.dtype)
+        if not len(used):  # all scores are nought: nothing to sort by, the smallest ids win
+            return self._best(np.flatnonzero(self.ids != query), np.zeros(n, np.int64), k)
+        up, down = used[q[used] > 0], used[q[used] < 0]
+        seen, scored, scores = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, self.x.dtype)
+        ahead = np.zeros(0, self.x.dtype)  # the k best scores so far
         depth, step = 0, DEPTH
-        while len(used) and depth < n and depth * len(used) < n // 8:
+        while depth < n:
             to = min(n, depth + step)
-            met = np.concatenate([self.order[n - to : n - depth, used[up]].ravel(), self.order[depth:to, used[~up]].ravel()])
-            fresh = np.unique(met[~seen[met]])
-            seen[fresh] = True
+            seen[self.order[up, n - to : n - depth].ravel()] = True
+            seen[self.order[down, depth:to].ravel()] = True
+            fresh = np.flatnonzero(seen & ~scored)
             scores[fresh] = self.x[fresh] @ q
+            scored[fresh] = True
             depth, step = to, 2 * step
-            self.read[r] = depth
-            bound = (np.where(up, self.sorted[n - depth, used], self.sorted[depth - 1, used]) * q[used]).sum()
-            best = self._best(np.flatnonzero(seen & (self.ids != query)), scores, k)
-            if len(best) == k and bound < best[-1][0]:
-                return best
-        return None
+            self.met[r] += len(fresh)
+            ahead = np.sort(np.concatenate([ahead, scores[fresh[self.ids[fresh] != query]]]))[-k:]
+            bound = (self.sorted[up, n - depth] * q[up]).sum() + (self.sorted[down, depth - 1] * q[down]).sum()
+            if self.met[r] == n or (len(ahead) == k and bound < ahead[0]):
+                break
+        self.read[r] = depth
+        return self._best(np.flatnonzero(scored & (self.ids != query)), scores, k)
 
 
 def matrix(rows: pd.Series, width: int) -> np.ndarray:

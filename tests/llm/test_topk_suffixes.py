@@ -38,7 +38,23 @@ def test_threshold_stops_early():
 
     lists = topk.Lists(np.arange(5000), np.column_stack([np.arange(5000.0), np.arange(5000.0) % 7]))
     (best,) = lists.top(np.array([-1]), np.array([[3.0, 0.1]]), 3)
-    assert best[0][1] == 4999 and lists.read[0] < 100
+    assert best[0][1] == 4999 and lists.read[0] < 100 and lists.met[0] < 300
+
+
+def test_threshold_meets_each_candidate_once():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.floor(64 * rng.normal(size=(3000, 32)))
+    lists = topk.Lists(np.arange(3000) * 3, x)
+    queries = np.arange(0, 3000, 150)
+    found = lists.top(queries * 3, x[queries], 7)
+    for r, own in zip(queries, found, strict=True):
+        scores = x @ x[r]
+        want = sorted((-scores[i], 3 * i) for i in range(3000) if i != r)[:7]
+        assert own == [(-s, i) for s, i in want]
+    assert (lists.met <= 3000).all()
+    assert lists.top(np.array([3]), np.zeros((1, 32)), 2) == [[(0, 0), (0, 6)]]
 
 
 def test_top_k_of_an_empty_table(spark):
