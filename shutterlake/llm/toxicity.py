@@ -3,30 +3,37 @@
 Folding lower-cases, maps homoglyphs and full-width forms to plain letters, and
 reads digits and signs inside words as the letters that they stand for. The
 lexicon's terms are words and beginnings of words; terms, weights (smoothed log
-odds) and exception phrases are learned from a bounded sample of labelled rows.
-A match inside an exception phrase doesn't count. The sum of weights, and that
-sum relative to the text's length, go through a logistic function fitted on the
-other half of the sample.
+odds) and exception phrases are learned from a bounded sample of labelled rows, in
+which copies count once. A match inside an exception phrase doesn't count. The sum
+of weights, and that sum relative to the text's length, go through a logistic
+function of three parameters, fitted on the same sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import Stored, labelled_sample
 
 #: At most twice as many labelled rows are used.
 SAMPLE_ROWS = 6000
 TERMS, MIN_DOCS, MIN_WEIGHT = 4000, 6, 3.0
+#: Smallest hashes by which copies are told.
+MINIMA = 3
+#: Exception phrases that are learned at most.
+PHRASES = 200
 PREFIX = range(3, 9)
 
 # Letters that look like Latin ones, and signs that stand for letters.
@@ -86,7 +93,12 @@ class Lexicon:
                 spared.append((at, last + 1))
             else:
                 found[at] = (last + 1, weight)
-        return [(a, b, w) for a, (b, w) in found.items() if not any(s <= a and b <= e for s, e in spared)]
+        if not spared:
+            return [(a, b, w) for a, (b, w) in found.items()]
+        # of the exceptions that begin at or before a match the farthest end decides
+        spared.sort()
+        starts, far = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
+        return [(a, b, w) for a, (b, w) in found.items() if not (k := bisect_right(starts, a)) or far[k - 1] < b]
 
     def inputs(self, text: str | None) -> tuple[float, float]:
         """Of the logistic function: the sum of weights, and that for a hundred words, both dampened."""
@@ -111,19 +123,19 @@ def terms_of(folded: str) -> set[str]:
 
 
 def _key(folded: str) -> int:
-    """The smallest hash of a text's word pairs: copies mostly share it, so that a group of copies counts once."""
+    """Of a text's word pairs the smallest hashes, as one: copies mostly share them, so that a group of copies counts once; a common line alone doesn't make two texts copies."""
     import xxhash
 
     words = folded.split()
     pairs = {f"{a} {b}" for a, b in zip(words, words[1:] or words, strict=False)}
-    return min((xxhash.xxh3_64_intdigest(p) >> 1 for p in pairs), default=0)
+    return xxhash.xxh3_64_intdigest(repr(nsmallest(MINIMA, map(xxhash.xxh3_64_intdigest, pairs)))) >> 1
 
 
 def _chosen(counts: list[tuple[str, int, int]], positive: int, negative: int) -> dict[str, float]:
     """Terms with weights, without those that a shorter term with nearly that weight begins."""
     weight = {t: math.log((p + 0.5) / (positive + 1) * (negative + 1) / (n + 0.5)) for t, p, n in counts}
     held = {t: p for t, p, _ in counts}
-    good = {t for t, w in weight.items() if w >= MIN_WEIGHT }
+    good = {t for t, w in weight.items() if w >= MIN_WEIGHT}
     out: dict[str, float] = {}
     for term in sorted(good, key=lambda t: (len(t), t)):
         shorter = [term[:k] for k in range(4, len(term)) if term[:k] in out]
@@ -157,9 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: F.Column, exceptions:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             folded = [fold(t) for t in batch["text"]]
-            yield pd.DataFrame({"half": [int(d % 2) for d in batch["doc_id"]], "y": batch["y"], "k": [_key(f) for f in folded], "folded": folded})
+            yield pd.DataFrame({"y": batch["y"], "k": [_key(f) for f in folded], "folded": folded})
 
-    kept = sample.mapInPandas(counted, "half int, y int, k long, folded string").dropDuplicates(["k"]).persist()
+    # of copies the smallest stays, whatever the order they come in; stored, so that all passes see the same rows
+    once = sample.select("text", "y").mapInPandas(counted, "y int, k long, folded string").groupBy("k").agg(F.min(F.struct("folded", "y")).alias("r"))
+    rows = Stored(once.select("r.y", "r.folded"), "sample")
+    kept = rows.df
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -168,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: F.Column, exceptions:
                 (with_ if y else without).update(terms_of(f))
             yield pd.DataFrame([(t, n, without[t]) for t, n in with_.items()] + [(t, 0, n) for t, n in without.items() if t not in with_], columns=["term", "p", "n"])
 
-    sizes = {(r["half"], r["y"]): r["count"] for r in kept.groupBy("half", "y").count().collect()}
-    positive, negative = sum(c for (_, y), c in sizes.items() if y), sum(c for (_, y), c in sizes.items() if not y)
+    sizes = {r["y"]: r["count"] for r in kept.groupBy("y").count().collect()}
+    positive, negative = sum(c for y, c in sizes.items() if y), sizes.get(0, 0)
     odds = F.log((F.col("p") + 0.5) / (positive + 1) * (negative + 1) / (F.col("n") + 0.5))
     sums = kept.select("y", "folded").mapInPandas(terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     least = max(4, min(MIN_DOCS, positive // 50))
@@ -182,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: F.Column, exceptions:
             x = [lexicon.inputs(f) for f in batch["folded"]]
             yield pd.DataFrame({"y": batch["y"], "a": [v for v, _ in x], "b": [v for _, v in x]})
 
-    got = kept.select("y", "folded").mapInPandas(rated, "y int, a double, b double").collect()
-    kept.unpersist()
+    got = sorted(kept.select("y", "folded").mapInPandas(rated, "y int, a double, b double").collect())
+    rows.drop()
     y = np.array([r["y"] for r in got], float)
     if lexicon.terms and 0 < y.sum() < len(y):  # without terms no text is suspect
         lexicon.curve = tuple(round(float(v), 6) for v in _logistic(np.array([[r["a"], r["b"]] for r in got]), y))
@@ -206,7 +221,7 @@ def _phrases(kept: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
                 yield pd.DataFrame([(p, y) for _, y, p in rows], columns=["phrase", "y"])
 
     counts = kept.select("y", "folded").mapInPandas(seen, "phrase string, y int").groupBy("phrase").agg(F.sum(F.lit(1) - F.col("y")).alias("n"), F.sum("y").alias("p"))
-    return tuple(r["phrase"] for r in counts.where("n >= 3 and p = 0").orderBy(F.desc("n"), "phrase").limit(200).collect())
+    return tuple(r["phrase"] for r in counts.where("n >= 3 and p = 0").orderBy(F.desc("n"), "phrase").limit(PHRASES).collect())
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame:

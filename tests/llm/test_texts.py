@@ -155,6 +155,9 @@ def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " lowe": 4.0}, ("no idiot",))
     assert lexicon.score("you 1d1ot") > lexicon.score("no idiot here") == lexicon.score(None)
     assert [w for _, _, w in lexicon.hits(toxicity.fold("Loweiä, idiot"))] == [4.0, 5.0]
+    began = time.perf_counter()
+    assert len(lexicon.hits(toxicity.fold("no idiot idiot " * 50_000))) == 50_000
+    assert time.perf_counter() - began < 10
 
 
 @pytest.fixture(scope="module")
