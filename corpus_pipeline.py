@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import minhash, mixing, packing, secrets, toxicity
-from shutterlake.llm.common import Stored, bound_batches, crc_fold, table
+from shutterlake.llm.common import Stored, bound_batches, crc_fold, numbers, scratch, table
 from shutterlake.llm.queries import THRESHOLD, tokenizer_path
 
 
@@ -23,14 +23,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays, of rows that repeat its doc_id one. Rows without a doc_id stay."""
-    found = Stored(minhash.near_duplicates(docs), "near").df
-    gone = Stored(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone").df
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
-    if again.isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    """Of each group of near duplicates one document stays: the one with the smallest doc_id, then with the smallest hash of its text.
+
+    Rows that repeat a doc_id are documents of their own, told apart by their
+    texts: one goes only as a near copy of another, or as an equal row. Rows
+    without a doc_id stay.
+    """
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    often = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if often.limit(1).isEmpty():
+        gone = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # ids of rows, in the order of doc_id and text's hash
+    one = rows.where("doc_id is not null").groupBy("doc_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    numbered = Stored(numbers(one, ["doc_id", "_hash"], "_id"), "numbered").df
+    near = minhash.near_duplicates(numbered.select(F.col("_id").alias("doc_id"), "_row.text"))
+    kept = numbered.join(near.where("kept").select(F.col("doc_id").alias("_id")), "_id", "left_semi").select("_row.*")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
-        after = Stored(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:  # what a stage has written on its way goes when its result is there
+            after = Stored(stage(spark, docs, sf_dir), name)
+            kept.append(after)
         if before is not None:
             before.drop()
         before, docs = after, after.df

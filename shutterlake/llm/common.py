@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterlake.operators.scratch import Stored, scratch, stored  # noqa: F401
@@ -113,6 +113,15 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def numbers(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """``df`` with each row's number from 0 in the order ``by`` (no two rows alike): sorted by ranges, numbered within them, plus the rows of earlier ranges."""
+    ranged = Stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()), "ranged").df
+    counts = ranged.groupBy("_part").count()
+    below = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(below), "_part").withColumn(column, F.col("_own") + F.col("_below")).drop("_part", "_own", "_below")
+
+
 def crc_fold(column: str, parts: int) -> F.Column:
     """crc32 of an id as text, modulo ``parts``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

@@ -75,3 +75,28 @@ def test_packing_follows_the_mix(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     plain, _ = tokens()
     assert plain != mixed
+
+
+def test_an_empty_table_and_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = "one two three four five six seven eight nine ten"
+    rows = [(2, words, "en", "a", 1), (2, words, "en", "b", 1), (2, "a text that has nothing in common with the other one", "en", "a", 1), (1, words, "de", "a", 1), (None, words, "en", "a", 1), (None, words, "en", "a", 1), (3, None, "en", None, 1), (3, None, "en", None, 1), (2**53 + 1, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, schema).coalesce(1)
+    for _ in range(2):
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+        assert sorted((r.doc_id or -1, r.lang, r.text or "") for r in kept) == sorted([(2, "en", rows[2][1]), (1, "de", words), (-1, "en", words), (-1, "en", words), (3, "en", ""), (2**53 + 1, "en", "")])
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_labelled_rows_are_learned_once_and_the_same_way(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(90)) for _ in range(12)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(0, 1), (1, None), (2, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame([rows[0]] * 500 + rows[::-1], "doc_id long, text string").repartition(5)
+    one, two = (toxicity.train(d, labels, F.lit(True)) for d in (once, often))
+    assert (one.terms, one.exceptions, one.curve) == (two.terms, two.exceptions, two.curve) and " vile " in one.terms or " vile" in one.terms
