@@ -47,9 +47,17 @@ def minutes(micros: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A number in at most six significant digits, without trailing noughts."""
-    text = F.format_string("%.6f", F.round(c, 6))
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")
+    """A number in six significant digits without trailing noughts, rounded by its exact value, halves to even; with an exponent below 1e-4 and from 1e6 on."""
+    c = c.cast("double")
+    as_ = lambda pattern: F.call_function("format_number", c, F.lit(pattern))
+    parts = F.split(as_("0.#####E0"), "E")
+    power = parts[1].cast("int")
+    plain = F.when(power == -4, as_("0.#########"))
+    for k in range(-3, 6):
+        plain = plain.when(power == k, as_("0." + "#" * (5 - k) if k < 5 else "0"))
+    sign = F.when(power < 0, "e-").otherwise("e+")
+    digits = F.when(F.abs(power) < 10, F.concat(F.lit("0"), F.abs(power).cast("string"))).otherwise(F.abs(power).cast("string"))
+    return F.when((power >= -4) & (power < 6), plain).otherwise(F.concat(parts[0], sign, digits))
 
 
 def aperture_text(c: Column) -> Column:
@@ -78,6 +86,12 @@ def exif_date(*tags: Column) -> Column:
     return F.try_to_timestamp(F.coalesce(*tags), F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
 
 
+def taken(own: Column, modified: Column, changed: Column) -> dict[str, Column]:
+    """A photo's date and where it is from: its own, or else the earlier of its file's times (seconds, UTC)."""
+    file = F.timestamp_seconds(F.least(modified, changed)).cast("timestamp_ntz")
+    return {"date_taken": F.coalesce(own, file), "date_source": F.when(own.isNotNull(), "exif").when(file.isNotNull(), "filesystem")}
+
+
 def iso_time(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"))
 

@@ -92,11 +92,23 @@ def perceptual(rows: DataFrame, pairs: DataFrame | None = None, in_exact: DataFr
     scored = own.join(pairs, (F.col("seed") == F.col("a")) & (F.col("member") == F.col("b"))).select("seed", "member", similarity(F.col("pd"), F.col("dd")).alias("similarity"), F.when(F.col("dd") < F.col("pd"), "dhash").otherwise("phash").alias("match_on"))
     heads = own.select("seed").distinct().select("seed", F.col("seed").alias("member"), F.lit(100).alias("similarity"), F.lit("seed").alias("match_on"))
     out = scored.unionByName(heads)
-    if in_exact is None:
-        return out
-    marked = out.join(in_exact.select(F.col("id").alias("member"), F.lit(True).alias("_in")).distinct(), "member", "left")
+    return out if in_exact is None else outside(out, in_exact)
+
+
+def outside(groups: DataFrame, ids: DataFrame) -> DataFrame:
+    """``groups`` (seed, member, ...) without those whose members all are among ``ids`` (id)."""
+    marked = groups.join(ids.select(F.col("id").alias("member"), F.lit(True).alias("_in")).distinct(), "member", "left")
     wholly = marked.groupBy("seed").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("all")).where("all").select("seed")
-    return out.join(wholly, "seed", "left_anti")
+    return groups.join(wholly, "seed", "left_anti")
+
+
+def summary(rows: DataFrame, same: DataFrame, named: DataFrame, near: DataFrame) -> DataFrame:
+    """One row: how many groups of each kind, of all kinds, and how many rows were looked at."""
+    count = lambda df, key, name: df.select(key).distinct().agg(F.count("*").alias(name)).withColumn("k", F.lit(1))
+    out = rows.agg(F.count("*").alias("scanned")).withColumn("k", F.lit(1))
+    for df, key, name in ((same, "key", "exact_groups"), (named, "key", "filename_groups"), (near, "seed", "perceptual_groups")):
+        out = out.join(F.broadcast(count(df, key, name)), "k")  # one row each
+    return out.drop("k").withColumn("total_groups", F.col("exact_groups") + F.col("filename_groups") + F.col("perceptual_groups"))
 
 
 #: Best first.

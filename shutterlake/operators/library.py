@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs
 
+from .ranking import numbered
+
 #: Fixed value: the sidecar's text.
 SIDECAR = """<?xpacket begin='' id='W5M0MpCehiHzreSzNTczkc9d'?>
 <x:xmpmeta xmlns:x='adobe:ns:meta/'>
@@ -92,13 +94,13 @@ def without_import(photos: DataFrame, points: DataFrame, import_id: int) -> tupl
 
 
 def rename_preview(photos: DataFrame, pattern: str, order: str) -> DataFrame:
-    """``photos`` with new_name: numbered from 1 for each day in the order given."""
+    """``photos`` with new_name: numbered from 1 for each day in the order of the numeric column given. A day with most of the photos is numbered in parts."""
     day = F.coalesce(F.date_format("date_taken", "yyyy-MM-dd"), F.lit("nodate"))
-    seq = F.row_number().over(Window.partitionBy("_day").orderBy(order))
     ext, stem = exprs.suffix(F.col("filename")), exprs.stem(F.col("filename"))
-    tokens = {"date": F.col("_day"), "time": F.coalesce(F.date_format("date_taken", "HHmmss"), F.lit("")), "location": exprs.slug(F.coalesce("location_name", F.lit(""))), "seq": F.format_string("%03d", seq), "orig": stem, "ext": ext}
+    tokens = {"date": F.col("_day"), "time": F.coalesce(F.date_format("date_taken", "HHmmss"), F.lit("")), "location": exprs.slug(F.coalesce("location_name", F.lit(""))), "seq": F.format_string("%03d", "_seq"), "orig": stem, "ext": ext}
     name = exprs.renamed(F.lit(pattern), tokens, ext)
-    return photos.withColumn("_day", day).withColumn("new_name", F.when(name != "", name).otherwise(F.concat(stem, ext))).drop("_day")
+    rows = numbered(photos.withColumn("_day", day), ["_day"], order, "_seq")
+    return rows.withColumn("new_name", F.when(name != "", name).otherwise(F.concat(stem, ext))).select(*photos.columns, "new_name")
 
 
 def rename_plan(renames: DataFrame) -> DataFrame:
@@ -108,13 +110,6 @@ def rename_plan(renames: DataFrame) -> DataFrame:
     return renames.join(taken, ["folder", "new_name"], "left").withColumns({"valid": valid, "collision": (F.col("filename") != F.col("new_name")) & (F.col("count") > 1)}).drop("count")
 
 
-def move_plan(files: DataFrame) -> DataFrame:
-    """``files`` (folder, filename, ord) with the name each gets in the folder for duplicates: the n-th of one name gets " (n)"."""
-    n = F.row_number().over(Window.partitionBy("folder", "filename").orderBy("ord")) - 1
-    numbered = F.concat(exprs.stem(F.col("filename")), F.lit(" ("), n.cast("string"), F.lit(")"), exprs.suffix(F.col("filename")))
-    return files.withColumn("target", F.when(n == 0, F.col("filename")).otherwise(numbered))
-
-
 def sidecar(photos: DataFrame) -> DataFrame:
     """``photos`` with xmp, the text of each one's sidecar file."""
     def place(c: str, north: str, south: str):
@@ -154,5 +149,6 @@ def date_targets(photos: DataFrame) -> DataFrame:
     return photos.join(dated, ["scan_root", "folder"], "left_semi").where("date_source = 'filesystem'")
 
 
-def log_tail(log: DataFrame, since: int, last: int = 200) -> DataFrame:
+def log_tail(log: DataFrame, since: int, last: int = 500) -> DataFrame:
+    """Lines after ``since``; without one the last few."""
     return log.where(F.col("id") > since) if since > 0 else log.orderBy(F.desc("id")).limit(last)

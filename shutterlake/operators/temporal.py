@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
+#: Stretches of time that a tolerance is cut into.
+STRETCHES = 16
 
 
 def micros(c: Column) -> Column:
@@ -13,43 +15,46 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def nearest_in_group(rows: DataFrame, group: str, time: str, order: str, source: str, target: str, tolerance_us: int, carry: list[str]) -> DataFrame:
-    """Targets of ``rows`` with the nearest source of their group: near_<carry>, near_us.
+def _nearest(rows: DataFrame, groups: list[str], tolerance_us: int) -> DataFrame:
+    """``rows`` with _us and _src (a struct that begins with us and ord, null where a row is no source): _p, the nearest source, where it is within the tolerance.
 
-    Both directions are running aggregates over one sort each; the later side runs
-    over the reversed order. Of sources with one time the earlier side takes the
-    last in ``order``, the later side the first. Partition by something finer if
-    a group outgrows a task.
+    A group's time is cut into stretches, so a group that holds most rows is
+    dealt to many tasks: each stretch is searched for itself, by running
+    aggregates over one sort in each direction, and takes its neighbours' last and
+    first source from a table that has one row for each stretch. Of sources with
+    one time the earlier side takes the last in ``ord``, the later side the first.
     """
-    with_us = rows.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
-    src = F.when(F.col(source), F.struct(F.col("_us").alias("us"), F.col(order).alias("ord"), *carry))
-    ahead = Window.partitionBy(group).orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(group).orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
-    both = with_us.withColumns({"_b": F.max(src).over(ahead), "_f": F.min(src).over(back)}).where(target)
+    width = max(1, tolerance_us // STRETCHES)
+    keys = [*groups, "_k"]
+    rows = rows.withColumn("_k", F.floor(F.col("_us") / width))
+    ends = rows.where("_src is not null").groupBy(*keys).agg(F.min("_src").alias("_first"), F.max("_src").alias("_last"))
+    # stretches without a source of their own need their neighbours' too
+    ends = rows.select(*keys).distinct().join(ends, keys, "left") if groups else rows.select("_k").distinct().join(ends, "_k", "left")
+    ahead = Window.partitionBy(*groups).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*groups).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, F.max("_last").over(ahead).alias("_before"), F.min("_first").over(behind).alias("_after"))
+    up = Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys).orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
+    both = rows.join(ends, keys).withColumns({"_b": F.coalesce(F.max("_src").over(up), F.col("_before")), "_f": F.coalesce(F.min("_src").over(down), F.col("_after"))})
     db, df = F.col("_us") - F.col("_b.us"), F.col("_f.us") - F.col("_us")
     pick = F.when(F.col("_b").isNotNull() & (F.col("_f").isNull() | (db <= df)), F.col("_b")).otherwise(F.col("_f"))
-    out = both.withColumn("_p", pick).where(F.abs(F.col("_p.us") - F.col("_us")) <= tolerance_us)
-    return out.select(*rows.columns, *(F.col(f"_p.{c}").alias(f"near_{c}") for c in carry), F.abs(F.col("_p.us") - F.col("_us")).alias("near_us"))
+    return both.withColumn("_p", pick).where(F.abs(F.col("_p.us") - F.col("_us")) <= tolerance_us)
 
 
-def nearest_overall(probes: DataFrame, points: DataFrame, tolerance_us: int, carry: list[str]) -> DataFrame:
-    """``probes`` (us, ...) with the nearest of ``points`` (us, ord, ...) on one global timeline.
+def nearest_in_group(rows: DataFrame, group: str, time: str, order: str, source: str, target: str, tolerance_us: int, carry: list[str]) -> DataFrame:
+    """Targets of ``rows`` with the nearest source of their group: near_<carry>, near_us. Rows without a group or time take no part."""
+    with_us = rows.withColumn("_us", micros(F.col(time))).where(F.col(group).isNotNull() & F.col("_us").isNotNull() & (F.col(source) | F.col(target)))
+    found = _nearest(with_us.withColumn("_src", F.when(F.col(source), F.struct(F.col("_us").alias("us"), F.col(order).alias("ord"), *carry))), [group], tolerance_us)
+    return found.where(target).select(*rows.columns, *(F.col(f"_p.{c}").alias(f"near_{c}") for c in carry), F.abs(F.col("_p.us") - F.col("_us")).alias("near_us"))
 
-    Time is cut into buckets of one tolerance: a probe meets its own and the two
-    beside it in an equi-join, so no task sees the whole timeline. Points of one
-    time are reduced first to those that could win (the smallest and the largest
-    ``ord``), so a dense moment doesn't multiply.
-    """
-    value = F.struct("ord", *carry)
-    one = points.groupBy("us").agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
-    one = one.withColumn("_k", F.floor(F.col("us") / tolerance_us)).withColumnRenamed("us", "_pus")
+
+def nearest_overall(probes: DataFrame, points: DataFrame, tolerance_us: int, carry: list[str]) -> DataFrame:
+    """``probes`` (us, ...) with the nearest of ``points`` (us, ord, ...) on one global timeline: near_<carry>, near_us."""
     names = probes.columns
-    asked = probes.withColumn("_k", F.explode(F.array(*(F.floor(F.col("us") / tolerance_us) + d for d in (-1, 0, 1)))))
-    delta = F.abs(F.col("_pus") - F.col("us"))
-    late = F.col("_pus") >= F.col("us")
-    met = asked.join(one, "_k").where(delta <= tolerance_us)
-    best = met.groupBy(*names).agg(F.min(F.struct(delta.alias("d"), late.alias("late"), F.when(late, F.col("_first")).otherwise(F.col("_last")).alias("p"))).alias("_b"))
-    return best.select(*names, *(F.col(f"_b.p.{c}").alias(f"near_{c}") for c in carry), F.col("_b.d").alias("near_us"))
+    asked = probes.where("us is not null").select(F.col("us").alias("_us"), F.struct(*names).alias("_row"))
+    given = points.where("us is not null").select(F.col("us").alias("_us"), F.struct("us", "ord", *carry).alias("_src"))
+    found = _nearest(asked.unionByName(given, allowMissingColumns=True), [], tolerance_us).where("_row is not null")
+    return found.select(*(F.col(f"_row.{c}").alias(c) for c in names), *(F.col(f"_p.{c}").alias(f"near_{c}") for c in carry), F.abs(F.col("_p.us") - F.col("_us")).alias("near_us"))
 
 
 def effective_positions(photos: DataFrame, pending: DataFrame, key: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from shutterlake.operators import dedup, library, temporal
 
 from . import fixtures as fx
 
-TABLES = ("events", "part", "documents", "lineitem", "embeddings", "customer", "orders")
+TABLES = ("events", "part", "documents", "lineitem", "embeddings", "customer", "orders", "nation")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -129,18 +129,31 @@ def similarity(rows):
     return dedup.hamming_pairs(_hashes(rows)).select("a", "b", exprs.similarity(F.col("pd"), F.col("dd")).alias("similarity"))
 
 
-@query(None, fx.PHASHES)
-def dup_perceptual(rows):
-    return dedup.perceptual(_hashes(rows))
+#: Star clusters over planted families: seeds have no earlier neighbour that is one. Families of four are decided in three rounds.
+STARS = f"""pr as (select * from {PAIRS} x),
+s1 as (select distinct a as id from pr where a not in (select b from pr)),
+c1 as (select b as id, min(a) as seed from pr where a in (select id from s1) group by b),
+l1 as (select * from pr where a not in (select id from s1) and a not in (select id from c1) and b not in (select id from c1)),
+s2 as (select distinct a as id from l1 where a not in (select b from l1)),
+c2 as (select b as id, min(a) as seed from l1 where a in (select id from s2) group by b),
+l2 as (select * from l1 where a not in (select id from s2) and a not in (select id from c2) and b not in (select id from c2)),
+s3 as (select distinct a as id from l2 where a not in (select b from l2)),
+c3 as (select b as id, min(a) as seed from l2 where a in (select id from s3) group by b),
+st as (select * from c1 union all select * from c2 union all select * from c3)"""
+EXACT_KEYS, NAME_KEYS = f"select file_hash from ({fx.HASHED}) h group by 1 having count(*) > 1", f"select key from {NAMES} y group by 1 having count(*) > 1"
+
+
+@query(f"""with {STARS}, n as (select (select count(*) from ({EXACT_KEYS}) x) as exact_groups, (select count(*) from ({NAME_KEYS}) z) as filename_groups,
+(select count(distinct seed) from st) as perceptual_groups, (select count(*) from ({fx.HASHED}) h) as scanned)
+select *, exact_groups + filename_groups + perceptual_groups as total_groups from n""", fx.HASHED, fx.FILES, fx.PHASHES)
+def dup_summary(rows, files, hashes):
+    return dedup.summary(rows, dedup.exact(rows), dedup.by_filename(files), dedup.perceptual(_hashes(hashes)))
 
 
-@query(f"""select (select count(*) from (select file_hash from ({fx.HASHED}) h group by 1 having count(*) > 1) x) as exact_groups,
-(select count(*) from (select key from {NAMES} y group by 1 having count(*) > 1) z) as filename_groups, (select count(*) from ({fx.HASHED}) h) as scanned""", fx.HASHED, fx.FILES)
-def dup_summary(rows, files):
-    count = lambda df, name: df.select("key").distinct().agg(F.count("*").alias(name))
-    one = count(dedup.exact(rows), "exact_groups").withColumn("k", F.lit(1))
-    two = count(dedup.by_filename(files), "filename_groups").withColumn("k", F.lit(1))
-    return one.join(two, "k").join(rows.agg(F.count("*").alias("scanned")).withColumn("k", F.lit(1)), "k").drop("k")
+@query(f"""with {STARS} select seed, id as member, cast(round_even((1 - pd / 64.0) * 100, 0) as int) as similarity, 'phash' as match_on from st join pr on a = seed and b = id
+union all select distinct seed, seed, 100, 'seed' from st""", fx.PHASHES)
+def dup_perceptual(rows):
+    return dedup.perceptual(_hashes(rows))
 
 
 @query(f"""with m as (select ord, file_hash, case ord % 5 when 0 then 'named' when 1 then 'gps' when 2 then 'history' when 3 then 'inferred' else 'unknown' end as status, ord % 17 as size_kb from ({fx.HASHED}) h),
@@ -273,10 +286,10 @@ def camera_name(rows):
     return rows.select("id", exprs.camera_name(F.col("make"), F.col("model")).alias("camera"))
 
 
-RATIOS = "(select p_partkey as id, cast(p_partkey % 9 as double) as num, cast(p_partkey % 4 as double) as den from part)"
+RATIOS = "(select p_partkey as id, cast(p_partkey * 7919 % 90001 as double) as num, cast(p_partkey % 40 as double) as den from part)"
 
 
-@query(f"""select id, case when num <> 0 and den <> 0 then case when num < den then cast(num::bigint as varchar) || '/' || cast(den::bigint as varchar) || 's' else regexp_replace(regexp_replace(printf('%.6f', round(num / den, 6)), '0+$', ''), '[.]$', '') || 's' end end as shutter from {RATIOS} r""", RATIOS[1:-1])
+@query(f"""select id, case when num <> 0 and den <> 0 then case when num < den then cast(num::bigint as varchar) || '/' || cast(den::bigint as varchar) || 's' else printf('%g', num / den) || 's' end end as shutter from {RATIOS} r""", RATIOS[1:-1])
 def shutter_text(rows):
     return rows.select("id", exprs.shutter_text(F.col("num"), F.col("den")).alias("shutter"))
 
@@ -349,11 +362,6 @@ def saved_places_cap(places):
     return library.saved_places(places)
 
 
-@query("select p_partkey % 40 as folder, p_partkey as ord, case when k = 1 then 'a.jpg' else 'a (' || cast(k - 1 as varchar) || ').jpg' end as target from (select *, row_number() over (partition by p_partkey % 40 order by p_partkey) as k from part) x", "select p_partkey % 40 as folder, p_partkey as ord, 'a.jpg' as filename from part")
-def move_plan(files):
-    return library.move_plan(files).select("folder", "ord", "target")
-
-
 @query("select event_id as id from events where event_id > 900", "select event_id as id from events")
 def log_tail(log):
     return library.log_tail(log, 900)
