@@ -180,8 +180,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A passage is LENGTH words (split at ASCII white space, A-Z lower-cased)
     that stand in documents with different doc_ids; overlapping or touching ones
-    make one stretch, other_doc_id is the smallest id found for any of its
-    matches. Documents without such a passage have no row. Null and short texts
+    make one stretch. other_doc_id is the smallest of its passages' links: each
+    links to the smallest doc_id that has it, in that document to the largest. Documents without such a passage have no row. Null and short texts
     and rows without a doc_id take no part; rows that repeat are one document;
     other columns are ignored. The result is a table in the shared folder; the
     others written for it are dropped.
