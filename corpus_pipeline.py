@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import minhash, mixing, packing, secrets, toxicity
-from shutterlake.llm.common import Stored, bound_batches, crc_fold, numbers, scratch, table
+from shutterlake.llm.common import Stored, bound_batches, crc_fold, numbers, scratch, small_batches, table
 from shutterlake.llm.queries import THRESHOLD, tokenizer_path
 
 
@@ -74,11 +74,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
-    for name, stage in STAGES:
-        with scratch() as kept:  # what a stage has written on its way goes when its result is there
-            after = Stored(stage(spark, docs, sf_dir), name)
-            kept.append(after)
-        if before is not None:
-            before.drop()
-        before, docs = after, after.df
+    with small_batches(spark):
+        for name, stage in STAGES:
+            with scratch() as kept:  # what a stage has written on its way goes when its result is there
+                after = Stored(stage(spark, docs, sf_dir), name)
+                kept.append(after)
+            if before is not None:
+                before.drop()
+            before, docs = after, after.df
     return docs
