@@ -87,12 +87,14 @@ def stars(pairs: DataFrame) -> DataFrame:
 
 def perceptual(rows: DataFrame, pairs: DataFrame | None = None, in_exact: DataFrame | None = None) -> DataFrame:
     """Star clusters with each member's likeness to its seed: seed, member, similarity, match_on. Groups that lie wholly among ``in_exact`` (id) go."""
-    pairs = hamming_pairs(rows) if pairs is None else pairs
-    own = stars(pairs)
-    scored = own.join(pairs, (F.col("seed") == F.col("a")) & (F.col("member") == F.col("b"))).select("seed", "member", similarity(F.col("pd"), F.col("dd")).alias("similarity"), F.when(F.col("dd") < F.col("pd"), "dhash").otherwise("phash").alias("match_on"))
-    heads = own.select("seed").distinct().select("seed", F.col("seed").alias("member"), F.lit(100).alias("similarity"), F.lit("seed").alias("match_on"))
-    out = scored.unionByName(heads)
-    return out if in_exact is None else outside(out, in_exact)
+    with scratch() as kept:
+        near = Stored(hamming_pairs(rows) if pairs is None else pairs, "pairs").df
+        own = stars(near)
+        scored = own.join(near, (F.col("seed") == F.col("a")) & (F.col("member") == F.col("b"))).select("seed", "member", similarity(F.col("pd"), F.col("dd")).alias("similarity"), F.when(F.col("dd") < F.col("pd"), "dhash").otherwise("phash").alias("match_on"))
+        heads = own.select("seed").distinct().select("seed", F.col("seed").alias("member"), F.lit(100).alias("similarity"), F.lit("seed").alias("match_on"))
+        out = Stored(scored.unionByName(heads), "groups")
+        kept.append(out)
+    return out.df if in_exact is None else outside(out.df, in_exact)
 
 
 def outside(groups: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 MINUTE = 60_000_000
 #: Stretches of time that a tolerance is cut into.
 STRETCHES = 16
+#: Stretches whose ends are carried on in one task.
+BLOCK = 4096
 
 
 def micros(c: Column) -> Column:
@@ -21,18 +23,22 @@ def _nearest(rows: DataFrame, groups: list[str], tolerance_us: int) -> DataFrame
     A group's time is cut into stretches, so a group that holds most rows is
     dealt to many tasks: each stretch is searched for itself, by running
     aggregates over one sort in each direction, and takes its neighbours' last and
-    first source from a table that has one row for each stretch. Of sources with
+    first source, as far as the tolerance reaches, from a table that has one row for
+    each stretch. Of sources with
     one time the earlier side takes the last in ``ord``, the later side the first.
     """
     width = max(1, tolerance_us // STRETCHES)
     keys = [*groups, "_k"]
     rows = rows.withColumn("_k", F.floor(F.col("_us") / width))
-    ends = rows.where("_src is not null").groupBy(*keys).agg(F.min("_src").alias("_first"), F.max("_src").alias("_last"))
-    # stretches without a source of their own need their neighbours' too
-    ends = rows.select(*keys).distinct().join(ends, keys, "left") if groups else rows.select("_k").distinct().join(ends, "_k", "left")
-    ahead = Window.partitionBy(*groups).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*groups).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, F.max("_last").over(ahead).alias("_before"), F.min("_first").over(behind).alias("_after"))
+    # a row for each stretch, null where it has no source of its own
+    ends = rows.groupBy(*keys).agg(F.min("_src").alias("_first"), F.max("_src").alias("_last"))
+    # what is carried comes from blocks of stretches; those near a block's edge, as far as a tolerance reaches, stand in the next one too
+    block = lambda k: F.floor(k / BLOCK)
+    ends = ends.withColumn("_block", F.explode(F.array_distinct(F.array(*(block(F.col("_k") + d) for d in (-STRETCHES - 2, 0, STRETCHES + 2))))))
+    ahead = Window.partitionBy(*groups, "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*groups, "_block").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_before": F.max("_last").over(ahead), "_after": F.min("_first").over(behind)})
+    ends = ends.where(F.col("_block") == block(F.col("_k"))).select(*keys, "_before", "_after")
     up = Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*keys).orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
     both = rows.join(ends, keys).withColumns({"_b": F.coalesce(F.max("_src").over(up), F.col("_before")), "_f": F.coalesce(F.min("_src").over(down), F.col("_after"))})

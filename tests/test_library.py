@@ -28,8 +28,9 @@ def nearest(target, sources, tolerance):
     return best and best[1]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_joins_equal_a_sequential_search(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 4096), (2, 19)])
+def test_nearest_joins_equal_a_sequential_search(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(temporal, "BLOCK", block)
     rng = random.Random(seed)
     zero = datetime(2024, 1, 1)
     rows = [(rng.choice("ab"), i, zero + timedelta(seconds=rng.randrange(4000)), rng.random() < 0.4) for i in range(300)]
