@@ -34,31 +34,70 @@ def from_hex(rows: DataFrame) -> DataFrame:
     return kept.withColumns({"phash": hash_value(F.col("phash")), "dhash": hash_value(F.col("dhash"))})
 
 
+#: Bands that a hash is cut into for the search of near ones.
+BANDS = 4
+
+
 def bands(c: Column, bits: int) -> Column:
-    """bits + 1 disjoint bands: two hashes within ``bits`` agree on one of them."""
-    edges = [64 * k // (bits + 1) for k in range(bits + 2)]
-    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    """Keys of a hash, one for each band and value, of which two hashes within ``bits`` share at least one.
+
+    Among ``BANDS`` disjoint bands one differs in at most bits / BANDS places.
+    Where that is one or two, each band stands with its variants of a single turned
+    bit as well: two values two bits apart meet in the variant between them. Bands
+    are then wide enough that rows that aren't near seldom meet.
+    """
+    if not 0 <= bits < 3 * BANDS:
+        raise ValueError(f"bits must be from 0 to {3 * BANDS - 1}")
+    edges = [64 * k // BANDS for k in range(BANDS + 1)]
+    keys = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        value = F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        turned = [0] + [1 << i for i in range(b - a)] * (bits >= BANDS)
+        keys += [value.bitwiseXOR(F.lit((k << 32) + t)) for t in turned]  # the band's number lies above its value
+    return F.array(*keys)
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """Equal pairs of hashes as one row: phash, dhash and rep, the smallest id that has them."""
+    return rows.groupBy("phash", "dhash").agg(F.min("id").alias("rep"))
+
+
+def class_links(found: DataFrame, phash_bits: int = PHASH_BITS, dhash_bits: int = DHASH_BITS) -> DataFrame:
+    """Pairs a < b of representatives of ``classes`` with either hash within reach: a, b, pd, dd. Candidates share a band's value."""
+    near = []
+    for name, bits in (("phash", phash_bits), ("dhash", dhash_bits)):
+        one = found.where(F.col(name).isNotNull()).select(F.col("rep").alias("a"), "phash", "dhash", F.explode(bands(F.col(name), bits)).alias("key"))
+        other = one.select(F.col("a").alias("b"), F.col("phash").alias("p2"), F.col("dhash").alias("d2"), "key")
+        reach = hamming(F.col(name), F.col("p2" if name == "phash" else "d2")) <= bits
+        near.append(one.join(other, "key").where((F.col("a") < F.col("b")) & reach).select("a", "b", hamming(F.col("phash"), F.col("p2")).alias("pd"), hamming(F.col("dhash"), F.col("d2")).alias("dd")))
+    return near[0].unionByName(near[1]).distinct()
+
+
+def members(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Each row's representative: id, rep, and the distances pd, dd of two rows of its class."""
+    both = rows.alias("r").join(found.alias("c"), F.col("r.phash").eqNullSafe(F.col("c.phash")) & F.col("r.dhash").eqNullSafe(F.col("c.dhash")))
+    own = lambda name: hamming(F.col(f"c.{name}"), F.col(f"c.{name}"))
+    return both.select("id", "rep", own("phash").alias("pd"), own("dhash").alias("dd"))
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("phash").isNotNull() | F.col("dhash").isNotNull())
 
 
 def hamming_pairs(rows: DataFrame, phash_bits: int = PHASH_BITS, dhash_bits: int = DHASH_BITS) -> DataFrame:
-    """Pairs a < b of ids with either hash (phash, dhash: bigint) within reach: a, b, pd, dd.
+    """All pairs a < b of ids with either hash (phash, dhash: bigint) within reach: a, b, pd, dd.
 
-    Candidates agree on a band. Equal pairs of hashes are one class, so that many
-    copies of one picture meet as classes; members are put back at the end.
+    Classes of equal hashes are compared, and expanded at the end: n equal pictures
+    have n * n / 2 pairs. ``perceptual`` works on classes and doesn't expand them.
     """
-    classes = rows.groupBy("phash", "dhash").agg(F.min("id").alias("rep"))
-    found = []
-    for kind, (name, bits) in enumerate((("phash", phash_bits), ("dhash", dhash_bits))):
-        b = classes.where(F.col(name).isNotNull()).select("rep", "phash", "dhash", F.explode(bands(F.col(name), bits)).alias("x")).select("rep", "phash", "dhash", F.lit(kind).alias("kind"), "x.band", "x.value")
-        other = b.select(F.col("rep").alias("rep2"), F.col("phash").alias("p2"), F.col("dhash").alias("d2"), "kind", "band", "value")
-        near = hamming(F.col(name), F.col("p2" if kind == 0 else "d2")) <= bits
-        found.append(b.join(other, ["kind", "band", "value"]).where(F.col("rep") < F.col("rep2")).where(near).select("rep", "rep2", hamming(F.col("phash"), F.col("p2")).alias("pd"), hamming(F.col("dhash"), F.col("d2")).alias("dd")))
-    links = found[0].unionByName(found[1]).distinct()
-    same = classes.select("rep", F.col("rep").alias("rep2"), hamming(F.col("phash"), F.col("phash")).alias("pd"), hamming(F.col("dhash"), F.col("dhash")).alias("dd"))
-    member = rows.alias("r").join(classes.alias("c"), F.col("r.phash").eqNullSafe(F.col("c.phash")) & F.col("r.dhash").eqNullSafe(F.col("c.dhash"))).select("id", "rep")
-    pairs = links.unionByName(same).join(member.withColumnRenamed("id", "x"), "rep").join(member.select(F.col("id").alias("y"), F.col("rep").alias("rep2")), "rep2")
-    pairs = pairs.where("rep <> rep2 or x < y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "pd", "dd")
+    rows = hashed(rows)
+    found = classes(rows)
+    links = class_links(found, phash_bits, dhash_bits)
+    member = members(rows, found)
+    one, other = member.select(F.col("id").alias("x"), F.col("rep").alias("a")), member.select(F.col("id").alias("y"), F.col("rep").alias("b"))
+    across = links.join(one, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "pd", "dd")
+    within = member.join(other, F.col("rep") == F.col("b")).where("id < y").select(F.col("id").alias("a"), F.col("y").alias("b"), "pd", "dd")
+    return across.unionByName(within)
 
 
 def stars(pairs: DataFrame) -> DataFrame:
@@ -85,16 +124,28 @@ def stars(pairs: DataFrame) -> DataFrame:
     return out.df
 
 
-def perceptual(rows: DataFrame, pairs: DataFrame | None = None, in_exact: DataFrame | None = None) -> DataFrame:
-    """Star clusters with each member's likeness to its seed: seed, member, similarity, match_on. Groups that lie wholly among ``in_exact`` (id) go."""
+def perceptual(rows: DataFrame, in_exact: DataFrame | None = None) -> DataFrame:
+    """Star clusters with each member's likeness to its seed: seed, member, similarity, match_on. Groups that lie wholly among ``in_exact`` (id) go.
+
+    Stars are found among classes of equal hashes: a row has the seed of its class,
+    whose smallest row comes before it and has the same neighbours. So n copies of
+    one picture cost n rows and no pairs.
+    """
+    rows = hashed(rows)
     with scratch() as kept:
-        near = Stored(hamming_pairs(rows) if pairs is None else pairs, "pairs").df
-        own = stars(near)
-        scored = own.join(near, (F.col("seed") == F.col("a")) & (F.col("member") == F.col("b"))).select("seed", "member", similarity(F.col("pd"), F.col("dd")).alias("similarity"), F.when(F.col("dd") < F.col("pd"), "dhash").otherwise("phash").alias("match_on"))
-        heads = own.select("seed").distinct().select("seed", F.col("seed").alias("member"), F.lit(100).alias("similarity"), F.lit("seed").alias("match_on"))
-        out = Stored(scored.unionByName(heads), "groups")
-        kept.append(out)
-    return out.df if in_exact is None else outside(out.df, in_exact)
+        found = Stored(classes(rows), "classes").df
+        links = Stored(class_links(found), "links").df
+        own = Stored(stars(links), "own").df
+        near = own.join(links, (F.col("seed") == F.col("a")) & (F.col("member") == F.col("b"))).select("seed", F.col("member").alias("rep"), F.col("pd").alias("pd2"), F.col("dd").alias("dd2"))
+        placed = members(rows, found).join(near, "rep", "left")
+        distance = {c: F.coalesce(f"{c}2", c) for c in ("pd", "dd")}  # to the seed; rows of the seed's own class are as far as equal hashes
+        seed = F.coalesce("seed", "rep")
+        match = F.when(seed == F.col("id"), "seed").when(distance["dd"] < distance["pd"], "dhash").otherwise("phash")
+        out = placed.select(seed.alias("seed"), F.col("id").alias("member"), similarity(distance["pd"], distance["dd"]).alias("similarity"), match.alias("match_on"))
+        groups = out.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+        result = Stored(out.join(groups, "seed"), "groups")
+        kept.append(result)
+    return result.df if in_exact is None else outside(result.df, in_exact)
 
 
 def outside(groups: DataFrame, ids: DataFrame) -> DataFrame:

@@ -66,6 +66,39 @@ def test_stars_equal_the_greedy_walk(spark):
     assert {r.member: r.seed for r in dedup.stars(spark.createDataFrame(sorted(want), "a long, b long")).collect()} == seed_of
 
 
+def test_bands_lose_no_near_hash(spark):
+    rng = random.Random(8)
+    turn = lambda h, n: h ^ sum(1 << i for i in rng.sample(range(64), n))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for bits in (3, dedup.DHASH_BITS, dedup.PHASH_BITS):
+        pairs = [(signed(h), signed(turn(h, bits))) for h in (rng.getrandbits(64) for _ in range(500))]
+        shared = spark.createDataFrame(pairs, "h long, g long").where(F.arrays_overlap(dedup.bands(F.col("h"), bits), dedup.bands(F.col("g"), bits)))
+        assert shared.count() == 500
+    with pytest.raises(ValueError):
+        dedup.bands(F.col("h"), 12)
+
+
+def test_perceptual_groups_with_copies_equal_the_greedy_walk(spark):
+    rng = random.Random(6)
+    pick = lambda: rng.choice([0, 0b1111, 0b11111111, 0x7FFF, -1, None, 1 << 40]) if rng.random() < 0.8 else rng.getrandbits(62)
+    rows = [(i, pick(), pick()) for i in range(150)] + [(200 + i, 77 << 20, None) for i in range(400)]
+    bits = lambda x, y: 99 if x is None or y is None else bin((x ^ y) & (2**64 - 1)).count("1")
+    want, used = {}, set()
+    for i, p, d in rows:
+        if i in used or (p is None and d is None):
+            continue
+        found = [(j, bits(p, q), bits(d, e)) for j, q, e in rows if j > i and j not in used]
+        found = [(j, a, b) for j, a, b in found if a <= dedup.PHASH_BITS or b <= dedup.DHASH_BITS]
+        if found:
+            want[i] = (i, 100, "seed")
+        for j, a, b in found:
+            want[j] = (i, round((1 - min(a, b) / 64) * 100), "dhash" if b < a else "phash")
+            used.add(j)
+    got = dedup.perceptual(spark.createDataFrame(rows, "id long, phash bigint, dhash bigint")).collect()
+    assert len(got) == len(want)
+    assert {r.member: (r.seed, r.similarity, r.match_on) for r in got} == want
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         exprs.minutes(F.lit(30_000_000)).alias("a"), exprs.minutes(F.lit(90_000_000)).alias("b"), exprs.minutes(F.lit(210_000_000)).alias("c"),
