@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, minhash, mixing, packing, pii, quality, secrets, suffixes, topk, toxicity
+from . import audit, codes, merkle, minhash, mixing, packing, pii, quality, secrets, suffixes, topk, toxicity
 from .common import crc_fold, table
 
 #: From here on a document counts as toxic, or as good.
@@ -64,11 +64,58 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secret_scan, op3_toxicity, op4_repeated_passages, op5_packing, op6_top_k, op7_quality, op8_fingerprints, op9_mixing, op10_near_duplicates)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secret_scan, op3_toxicity, op4_repeated_passages, op5_packing, op6_top_k, op7_quality, op8_fingerprints, op9_mixing, op10_near_duplicates, op11_vector_codes, op13_filter_audit)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _vector_codes_sql() -> str:
+    """Rounds of assignment and update, written out one after the other; p is the part's position, k the entry's."""
+    far = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    out = """with q as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) as q from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as (select vec_id, label, p, q[p * (len(q) // 4) + 1 : (p + 1) * (len(q) // 4)] as v from q, (select unnest(range(4)) as p)),
+c0 as (select p, row_number() over (partition by p order by vec_id) - 1 as k, v from (select *, row_number() over (partition by p order by vec_id) as r from x) where r <= 256)"""
+    for n in range(5):
+        out += f""",
+a{n} as (select x.vec_id, x.p, x.v, arg_min(c.k, ({far}, c.k)) as k, min({far}) as far from x join c{n} c on c.p = x.p group by x.vec_id, x.p, x.v)"""
+        if n < 4:
+            out += f""",
+m{n} as (select p, k, list(m order by j) as v from (select p, k, j, cast(floor(sum(v[j]) / count(*)) as bigint) as m from a{n}, (select unnest(range(1, 1 + (select max(len(v)) from x))) as j) group by p, k, j) group by p, k),
+c{n + 1} as (select c.p, c.k, coalesce(m.v, c.v) as v from c{n} c left join m{n} m on m.p = c.p and m.k = c.k)"""
+    return out + """,
+r as (select a.vec_id, any_value(q.label) as label, string_agg(printf('%02x', a.k), '' order by a.p) as code, cast(sum(a.far) as bigint) as error from a4 a join q on q.vec_id = a.vec_id group by a.vec_id),
+h as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, k)) as codebooks_sha256 from c4)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from r, h"""
+
+
 ORACLES = {
+    "op11_vector_codes": _vector_codes_sql(),
+    "op13_filter_audit": r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+d as (select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+             coalesce(doc_id > min(doc_id) over (partition by text), false) as e from w),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+f as (select part, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end || case when d then 'D' else '' end || case when e then 'E' else '' end as fails,
+             count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from d left join l using (doc_id) group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select p.x || q.x || r.x || s.x || t.x as filter_order from x p, x q, x r, x s, x t where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k as (select filter_order, step, filter_order[1 : step - 1] as before, filter_order[step] as own from o, (select unnest(range(1, 6)) as step)),
+r as (select f.*, k.*, contains(fails, own) as bad, len(list_filter(string_split(before, ''), lambda c: c <> '' and contains(fails, c))) > 0 as gone from f, k),
+g as (select part, filter_order, step, own, cast(sum(case when gone or bad then 0 else n end) as bigint) as kept, cast(sum(case when bad and not gone then n else 0 end) as bigint) as removed,
+             cast(sum(case when bad and gone then n else 0 end) as bigint) as redundant, cast(sum(case when fails = own then n else 0 end) as bigint) as unique_fails,
+             cast(sum(case when bad and not gone then good else 0 end) as bigint) as good_lost, cast(sum(case when bad and not gone then toxic else 0 end) as bigint) as toxic_lost from r group by 1, 2, 3, 4)
+select part, filter_order, cast(step as int) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from g""",
     "op4_repeated_passages": f"""
 with w as (select doc_id, {_WORDS} as words from documents),
 g as (select doc_id, s, md5(array_to_string(words[s + 1 : s + 50], ' ')) as h
