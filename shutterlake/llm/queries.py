@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, codes, merkle, minhash, mixing, packing, pii, quality, secrets, suffixes, topk, toxicity
+from . import audit, codes, merkle, minhash, mixing, ngram_join, packing, pii, quality, secrets, suffixes, topk, toxicity
 from .common import crc_fold, table
 
 #: From here on a document counts as toxic, or as good.
@@ -68,11 +68,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.alike(table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secret_scan, op3_toxicity, op4_repeated_passages, op5_packing, op6_top_k, op7_quality, op8_fingerprints, op9_mixing, op10_near_duplicates, op11_vector_codes, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_secret_scan, op3_toxicity, op4_repeated_passages, op5_packing, op6_top_k, op7_quality, op8_fingerprints, op9_mixing, op10_near_duplicates, op11_vector_codes, op12_ngram_join, op13_filter_audit)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -157,5 +161,17 @@ u as (select a, b from e union all select b, a from e),
 r as (select a as id, a as seen from u union select r.id, u.b from r join u on r.seen = u.a),
 m as (select id, min(seen) as component_id from r group by id)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.component_id, d.doc_id) as component_id, coalesce(m.component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join m on m.id = d.doc_id""",
+    "op12_ngram_join": f"""
+with recursive w as (select doc_id, {_WORDS} as words from documents),
+g as (select distinct doc_id, md5(array_to_string(words[s + 1 : s + 3], ' ')) as h
+      from (select doc_id, words, unnest(range(0, greatest(1, len(words) - 2))) as s from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.h = b.h and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+u as (select a, b from e union all select b, a from e),
+r as (select a as id, a as seen from u union select r.id, u.b from r join u on r.seen = u.a),
+m as (select id, min(seen) as component_id from r group by id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.component_id, d.doc_id) as component_id
 from documents d left join n on n.doc_id = d.doc_id left join m on m.id = d.doc_id""",
 }
