@@ -43,7 +43,7 @@ def remote(call: Callable[[float, float], str | None], gap: float = 1.1) -> Look
 
 def targets(photos: DataFrame, pending: DataFrame, key: str = "id") -> DataFrame:
     """Photos to infer a place for: no position of their own, no pending coordinate, no name or match yet, a date."""
-    staged = pending.where(F.col("field").isin("lat", "lon")).select(F.col("photo_id").alias(key)).distinct()
+    staged = temporal.uncommitted(pending).where(F.col("field").isin("lat", "lon")).select(F.col("photo_id").alias(key)).distinct()
     open_ = ~F.col("has_gps") & ~F.coalesce(F.col("status"), F.lit("")).isin("named", "inferred", "history") & F.col("date_taken").isNotNull()
     return photos.where(open_).join(staged, key, "left_anti")
 

@@ -63,9 +63,14 @@ def nearest_overall(probes: DataFrame, points: DataFrame, tolerance_us: int, car
     return found.select(*(F.col(f"_row.{c}").alias(c) for c in names), *(F.col(f"_p.{c}").alias(f"near_{c}") for c in carry), F.abs(F.col("_p.us") - F.col("_us")).alias("near_us"))
 
 
+def uncommitted(changes: DataFrame) -> DataFrame:
+    """``changes`` that aren't committed; without that column all are pending, and a null counts as pending."""
+    return changes.where(~F.coalesce("committed", F.lit(False))) if "committed" in changes.columns else changes
+
+
 def effective_positions(photos: DataFrame, pending: DataFrame, key: str = "id") -> DataFrame:
-    """``photos`` with pending coordinates laid over: both must be there and be numbers. Later rows win."""
+    """``photos`` with pending coordinates laid over: both must be there, be numbers and not be committed. Later rows win."""
     last = lambda f: F.max_by(F.when(F.col("field") == f, F.col("new_value")), F.when(F.col("field") == f, F.col("id"))).try_cast("double")
-    over = pending.where(F.col("field").isin("lat", "lon")).groupBy(F.col("photo_id").alias("_key")).agg(last("lat").alias("_lat"), last("lon").alias("_lon")).where("_lat is not null and _lon is not null")
+    over = uncommitted(pending).where(F.col("field").isin("lat", "lon")).groupBy(F.col("photo_id").alias("_key")).agg(last("lat").alias("_lat"), last("lon").alias("_lon")).where("_lat is not null and _lon is not null")
     out = photos.join(over, F.col(key) == F.col("_key"), "left")
     return out.select(*(c for c in photos.columns if c not in ("lat", "lon", "has_gps")), F.coalesce("_lat", "lat").alias("lat"), F.coalesce("_lon", "lon").alias("lon"), (F.col("_key").isNotNull() | F.col("has_gps")).alias("has_gps"))

@@ -79,16 +79,16 @@ def nearest_history(photos):
 
 @query(f"""
 with o as (select photo_id, try_cast(arg_max(case when field = 'lat' then new_value end, case when field = 'lat' then id end) as double) as a,
-                  try_cast(arg_max(case when field = 'lon' then new_value end, case when field = 'lon' then id end) as double) as b from {C} group by photo_id)
+                  try_cast(arg_max(case when field = 'lon' then new_value end, case when field = 'lon' then id end) as double) as b from {C} where not committed group by photo_id)
 select p.ord, case when a is not null and b is not null then a else lat end as lat, case when a is not null and b is not null then b else lon end as lon,
        has_gps or (a is not null and b is not null) as has_gps from {P} left join o on o.photo_id = p.id""", fx.PHOTOS, fx.COORDS)
 def effective_gps(photos, coords):
     return temporal.effective_positions(photos, coords).select("ord", "lat", "lon", "has_gps")
 
 
-@query(f"select distinct p.ord from {P} join {C} on c.photo_id = p.id where p.scan_root = '/r3'", fx.PHOTOS, fx.COORDS)
+@query(f"select distinct p.ord from {P} join {C} on c.photo_id = p.id where p.scan_root = '/r3' and not c.committed", fx.PHOTOS, fx.COORDS)
 def pending_overlay(photos, coords):
-    return photos.where("scan_root = '/r3'").join(coords.withColumnRenamed("id", "c").select(F.col("photo_id").alias("id")), "id", "left_semi").select("ord")
+    return photos.where("scan_root = '/r3'").join(temporal.uncommitted(coords).select(F.col("photo_id").alias("id")), "id", "left_semi").select("ord")
 
 
 @query(f"""with n as (select id, status as was, case when status = 'unknown' and id % 7 = 0 then 'inferred' else status end as status from ({fx.OLD}) o)

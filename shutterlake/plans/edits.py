@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs
 from shutterlake.operators import dedup, edits, inference, library, listings
-from shutterlake.sources import sinks
+from shutterlake.sources import jpeg, readers, sinks
 
 from . import fixtures as fx
 from .catalogue import LATEST, C, G, P, query
@@ -15,13 +15,13 @@ GAZETTEER = "(select cast(n_nationkey * 7 - 89 as double) as lat, cast(n_nationk
 CELLS = f"(select floor(lat) as y, floor(lon) as x, min(name) as name from {GAZETTEER} z group by 1, 2)"
 
 _OVER = f"""o as (select photo_id, try_cast(arg_max(case when field = 'lat' then new_value end, case when field = 'lat' then id end) as double) as a,
-                  try_cast(arg_max(case when field = 'lon' then new_value end, case when field = 'lon' then id end) as double) as b from {C} group by photo_id),
+                  try_cast(arg_max(case when field = 'lon' then new_value end, case when field = 'lon' then id end) as double) as b from {C} where not committed group by photo_id),
 e as (select p.*, a is not null and b is not null as over, case when a is not null and b is not null then a else lat end as elat, case when a is not null and b is not null then b else lon end as elon from {P} left join o on o.photo_id = p.id)"""
 
 
 @query(f"""with {_OVER},
 s as (select *, epoch_us(date_taken) as us from e where (has_gps or over) and elat is not null and elon is not null),
-t as (select *, epoch_us(date_taken) as us from e where not has_gps and status not in ('named', 'inferred', 'history') and id not in (select photo_id from {C})),
+t as (select *, epoch_us(date_taken) as us from e where not has_gps and status not in ('named', 'inferred', 'history') and id not in (select photo_id from {C} where not committed)),
 r as (select t.ord, s.elat, s.elon, s.filename as f, s.location_name as l, abs(s.us - t.us) as d,
              row_number() over (partition by t.ord order by abs(s.us - t.us), s.us >= t.us, case when s.us < t.us then -s.ord else s.ord end) as k
       from t join s on s.scan_root = t.scan_root and abs(s.us - t.us) <= 14400000000),
@@ -261,6 +261,24 @@ def jpeg_payload(photos):
     return sinks.jpeg_payload(photos).select("ord", "tag_description", "tag_lat", "tag_lat_ref", "tag_lon", "tag_lon_ref")
 
 
+_PARTS = "cast(floor({x}) as bigint) + cast(floor(({x} - floor({x})) * 60) as bigint) / 60.0 + round_even((({x} - floor({x})) * 60 - floor(({x} - floor({x})) * 60)) * 6000, 0) / 360000.0"
+
+
+@query(f"""select ord, ord % 97 <> 5 as ok, case when ord % 97 <> 5 then nullif(location_name, '') end as location_name, 'CAM' || lpad(cast(ord % 50 as varchar), 4, '0') as camera,
+case when ord % 97 <> 5 then cast(date_trunc('second', date_taken) as varchar) end as date_taken, case when ord % 97 <> 5 then round(sign(lat) * ({_PARTS.format(x='abs(lat)')}), 6) end as lat,
+case when ord % 97 <> 5 then round(sign(lon) * ({_PARTS.format(x='abs(lon)')}), 6) end as lon from {P}""", fx.PHOTOS)
+def exif_written(photos):
+    """Every photo's place and date written into a file's bytes and read back; one file in 97 has a block that can't be read and is refused."""
+    whole = jpeg.sample_jpeg(F.format_string("CAM%04d", F.col("ord") % 50))
+    # a second entry is announced that the block has no room for: readers still find the first one
+    broken = F.concat(F.expr("substring(c, 1, 20)"), F.unhex(F.lit("ff00")), F.expr("substring(c, 23)"))
+    files = sinks.jpeg_payload(photos).withColumn("c", whole).withColumn("content", F.when(F.col("ord") % 97 == 5, broken).otherwise(F.col("c"))).drop("c")
+    out = jpeg.written(files.select("ord", "content", *jpeg.PAYLOAD)).select(F.col("ord").alias("id"), "content", "ok")
+    tags = readers.described(readers.metadata(out.withColumn("id", F.col("id").cast("string"))))
+    found = out.select("id", "ok").join(tags.withColumn("id", F.col("id").cast("long")), "id")
+    return found.select(F.col("id").alias("ord"), "ok", "location_name", "camera", F.col("date_taken").cast("string").alias("date_taken"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 @query(f"select ord from {P} where (contains(lower(filename), 'city 1') or contains(lower(folder), 'city 1') or contains(lower(coalesce(location_name, '')), 'city 1')) and status = 'gps'", fx.PHOTOS)
 def search_photos(photos):
     return listings.search(photos, "City 1", "gps").select("ord")

@@ -15,10 +15,10 @@ select concat('/r', cast(user_id % 20 as string)) as scan_root,
        case when event_type='view' then 'gps' when event_type='signup' then 'named' else 'unknown' end as status
 from events"""
 COORDS = f"""
-select ord*2 as id, id as photo_id, 'lat' as field, case when ord % 100 = 0 then 'bad' else cast(ord % 90 as string) end as new_value
+select ord*2 as id, id as photo_id, 'lat' as field, case when ord % 100 = 0 then 'bad' else cast(ord % 90 as string) end as new_value, ord % 7 = 3 as committed
 from ({PHOTOS}) p where ord % 10 in (0,1)
 union all
-select ord*2+1, id, 'lon', cast(ord % 180 as string) from ({PHOTOS}) p where ord % 10 in (0,2)"""
+select ord*2+1, id, 'lon', cast(ord % 180 as string), ord % 7 = 3 or ord % 40 = 30 from ({PHOTOS}) p where ord % 10 in (0,2)"""
 PENDING = """
 select event_id as id, user_id as photo_id,
        case event_type when 'view' then 'lat' when 'click' then 'lon' when 'signup' then 'location_name' when 'purchase' then 'date_taken' else 'rename' end as field,
