@@ -87,23 +87,6 @@ def commit_count(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if("ok").alias("committed"))
 
 
-def renamed_photos(photos: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(photos, log) after renames (id, new_name). A name that is empty, holds a separator or is taken in the folder changes nothing; the first name that a photo had is kept."""
-    folder = F.regexp_replace("id", "[^/]+$", "")
-    asked = photos.join(names.select("id", F.trim("new_name").alias("_new")), "id").withColumn("_to", F.concat(folder, "_new"))
-    good = asked.where(~exprs.blank(F.col("_new")) & ~F.col("_new").rlike(r"[/\\]"))
-    good = good.join(photos.select("scan_root", F.col("id").alias("_to")), ["scan_root", "_to"], "left_anti")
-    # of photos that ask for one name the first gets it
-    first = good.groupBy("scan_root", "_to").agg(F.min("id").alias("id"))
-    moves = good.join(first, ["scan_root", "_to", "id"], "left_semi").select("scan_root", "id", "_new", "_to")
-    out = photos.join(moves, ["scan_root", "id"], "left")
-    hit = F.col("_new").isNotNull()
-    before = F.when(hit, F.coalesce("original_filename", "filename")).otherwise(F.col("original_filename"))
-    values = {"original_filename": before, "filename": F.coalesce("_new", "filename"), "id": F.coalesce("_to", "id")}
-    log = moves.select(F.col("_to").alias("photo_id"), F.col("id").alias("old_path"), F.col("_to").alias("new_path"))
-    return out.select(*(values[c].alias(c) if c in values else c for c in photos.columns)), log
-
-
 def move_plan(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``files`` (folder, filename, ord) with target, the name each gets in the folder for duplicates, and sidecar_target.
 

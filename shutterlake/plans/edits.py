@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs
-from shutterlake.operators import dedup, edits, inference, library, listings
+from shutterlake.operators import dedup, edits, inference, library, listings, renames
 from shutterlake.sources import jpeg, readers, sinks
 
 from . import fixtures as fx
@@ -192,13 +192,27 @@ TREE = "(select '/r' as scan_root, concat('d', cast(p_partkey % 9 as string), '/
 
 
 @query(f"""with w as (select *, regexp_replace(id, '[^/]+$', '') as dir, case ord % 5 when 0 then '' when 1 then 'x' || cast(ord as varchar) || '.jpg' when 2 then 'a/b.jpg' when 3 then cast(ord + 9 as varchar) || '.jpg' else 'same.jpg' end as new_name from {TREE} t where ord % 2 = 0),
-g as (select id, dir, new_name, row_number() over (partition by dir, new_name order by id) as k from w where new_name <> '' and new_name not like '%/%' and dir || new_name not in (select id from {TREE} t))
+g as (select id, dir, new_name, row_number() over (partition by dir, new_name order by ord) as k from w where new_name <> '' and new_name not like '%/%' and dir || new_name not in (select id from {TREE} t))
 select case when g.id is not null then g.dir || g.new_name else t.id end as id, case when g.id is not null then g.new_name else t.filename end as filename,
 case when g.id is not null then coalesce(t.original_filename, t.filename) else t.original_filename end as original_filename, t.ord from {TREE} t left join g on g.id = t.id and k = 1""", TREE[1:-1])
 def rename_applied(photos):
     o = F.col("ord").cast("string")
     name = F.when(F.col("ord") % 5 == 0, " ").when(F.col("ord") % 5 == 1, F.concat(F.lit("x"), o, F.lit(".jpg"))).when(F.col("ord") % 5 == 2, "a/b.jpg").when(F.col("ord") % 5 == 3, F.concat((F.col("ord") + 9).cast("string"), F.lit(".jpg"))).otherwise("same.jpg")
-    return edits.renamed_photos(photos, photos.where("ord % 2 = 0").select("id", name.alias("new_name")))[0].select("id", "filename", "original_filename", "ord")
+    items = photos.where("ord % 2 = 0").select("ord", "scan_root", "id", name.alias("new_name"))
+    return renames.renamed(photos, items).photos.select("id", "filename", "original_filename", "ord")
+
+
+@query(f"""with t as (select ord, ord // 9 % 4 as place, ord % 9 % 2 = 0 as down, (select max(ord) from {TREE} m) as top from {TREE} t),
+w as (select ord, down or place = 3 or ord + 9 > top as ok, case when place = 3 then 'x' || cast(ord as varchar) else cast(ord + 9 as varchar) end || '.jpg' as name from t)
+select ord, ok, false as skipped, case when not ok then 'name taken' end as error, case when ok then 'd' || cast(ord % 9 as varchar) || '/' || name end as new_id from w""", TREE[1:-1])
+def rename_chains(photos):
+    """Fours of files that all move up by one: in some folders from the last one on, so that each name is free in time, in others from the first on."""
+    place, o = F.expr("ord div 9 % 4"), F.col("ord")
+    name = F.concat(F.when(place == 3, F.concat(F.lit("x"), o)).otherwise((o + 9).cast("string")), F.lit(".jpg"))
+    turn = F.when(o % 9 % 2 == 0, 1_000_000_000 - o).otherwise(o)
+    items = photos.select((turn * 10 + o % 9).alias("turn"), "scan_root", "id", name.alias("new_name"), "ord")
+    got = renames.renamed(photos, items.select(F.col("turn").alias("ord"), "scan_root", "id", "new_name"))
+    return got.results.withColumnRenamed("ord", "turn").join(items.select("turn", "ord"), "turn").select("ord", "ok", "skipped", "error", "new_id")
 
 
 MOVES = "(select p_partkey % 40 as folder, p_partkey as ord, case p_partkey % 3 when 0 then 'a.jpg' when 1 then 'b' else concat('a (', cast(p_partkey % 11 as string), ').jpg') end as filename from part)"
