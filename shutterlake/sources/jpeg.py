@@ -77,8 +77,24 @@ class Block:
             found[tag] = kind, n, raw
         return found, struct.unpack_from(self.order + "I", self.data, end)[0]
 
+    def _has(self, old: dict[int, Entry], kind: int, values, tag: int) -> bool:
+        k, n, raw = old.get(tag, (0, 0, b""))
+        want = self._packed(kind, values)
+        if k != kind or n != (len(want) if kind == ASCII else len(values)):
+            return False
+        at = struct.unpack(self.order + "I", raw)[0]
+        return (raw[: len(want)] if len(want) <= 4 else self.data[at : at + len(want)]) == want
+
+    def _packed(self, kind: int, values) -> bytes:
+        if kind == ASCII:
+            return values + b"\0"
+        flat = [x for v in values for x in v] if kind == RATIONAL else values
+        return struct.pack(f"{self.order}{len(flat)}{'H' if kind == SHORT else 'I'}", *flat)
+
     def with_tags(self, main: dict[int, tuple[int, list]], exif: dict[int, tuple[int, list]], gps: dict[int, tuple[int, list]]) -> bytes:
-        """The block with these tags (type, values; text as bytes) set in its directories."""
+        """The block with these tags (type, values; text as bytes) set in its directories; one that has them stays as it is."""
+        if all(self._has(old, *v, t) for old, new in ((self.main, main), (self.exif, exif), (self.gps, gps)) for t, v in new.items()):
+            return self.data
         out = bytearray(self.data)
 
         def put(raw: bytes) -> int:
@@ -87,12 +103,8 @@ class Block:
             return len(out) - len(raw)
 
         def entry(kind: int, values) -> Entry:
-            if kind == ASCII:
-                raw, n = values + b"\0", len(values) + 1
-            else:
-                flat = [x for v in values for x in v] if kind == RATIONAL else values
-                raw, n = struct.pack(f"{self.order}{len(flat)}{ {SHORT: 'H', LONG: 'I', RATIONAL: 'I'}[kind] }", *flat), len(values)
-            return kind, n, raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(self.order + "I", put(raw))
+            raw = self._packed(kind, values)
+            return kind, len(raw) if kind == ASCII else len(values), raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(self.order + "I", put(raw))
 
         def directory(old: dict[int, Entry], new: dict[int, Entry], after: int) -> int:
             all_ = sorted((old | new).items())
@@ -102,8 +114,7 @@ class Block:
         for tag, old, new, after in ((EXIF, self.exif, exif, self.exif_next), (GPS, self.gps, gps, self.gps_next)):
             if new:
                 top[tag] = entry(LONG, [directory(old, {t: entry(*v) for t, v in new.items()}, after)])
-        if top:
-            struct.pack_into(self.order + "I", out, 4, directory(self.main, top, self.next))
+        struct.pack_into(self.order + "I", out, 4, directory(self.main, top, self.next))
         return bytes(out)
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.functions import exprs
 from shutterlake.functions.exprs import EXTENSIONS
 
 DUPLICATES_FOLDER = "_duplicates"
@@ -34,6 +35,13 @@ def takeout(spark: SparkSession, path: str) -> DataFrame:
     return _points(rows.where("latitudeE7 is not null and longitudeE7 is not null"), "timestamp", F.col("latitudeE7") / 1e7, F.col("longitudeE7") / 1e7)
 
 
+def split_takeout(spark: SparkSession, path: str) -> DataFrame:
+    """The same, with one file read by many tasks."""
+    from . import takeout as pieces
+
+    return _points(pieces.records(spark, path), "timestamp", F.col("lat"), F.col("lon"))
+
+
 def gpx(spark: SparkSession, path: str) -> DataFrame:
     """us, lat, lon of the track points of GPX files, in any namespace."""
     rows = spark.read.format("xml").option("rowTag", "trkpt").option("ignoreNamespace", True).schema("_lat double, _lon double, time string").load(path)
@@ -41,10 +49,10 @@ def gpx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _points(rows: DataFrame, time: str, lat, lon) -> DataFrame:
-    return rows.select(F.unix_micros(F.try_to_timestamp(F.col(time))).alias("us"), lat.alias("lat"), lon.alias("lon")).where("us is not null")
+    return rows.select(F.unix_micros(exprs.iso_time(F.trim(time))).alias("us"), lat.alias("lat"), lon.alias("lon")).where("us is not null")
 
 
-READERS = {".json": (takeout, "google_takeout"), ".gpx": (gpx, "gpx")}
+READERS = {".json": (split_takeout, "google_takeout"), ".gpx": (gpx, "gpx")}
 
 
 def import_points(spark: SparkSession, path: str, import_id: int, target: str) -> str:
@@ -144,8 +152,6 @@ def metadata(files: DataFrame) -> DataFrame:
 
 def described(tags: DataFrame) -> DataFrame:
     """Photo columns from raw tags."""
-    from shutterlake.functions import exprs
-
     ratio = lambda c, k: exprs.rational(F.col(c)[k][0], F.col(c)[k][1])
     degrees = lambda c: exprs.dms_to_decimal(ratio(c, 0), ratio(c, 1), ratio(c, 2), F.col(f"{c}_ref"))
     number = lambda c: exprs.rational(F.col(c)[0], F.col(c)[1])

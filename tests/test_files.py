@@ -38,6 +38,7 @@ def test_tags_are_set_and_others_kept():
     block = jpeg.Block(readers.tiff_block(new))
     assert block.exif[0x927C] == jpeg.Block(maker_block()).exif[0x927C] and block.data[240:280] == bytes(range(40)) and block.gps[6][1] == 1 and block.next == 160
     assert new.startswith(b"\xff\xd8" + app0) and new.endswith(b"\xff\xda\0\x02pixels\xff\xd9")
+    assert jpeg.tagged(new, "Zürich & more", "47/1,22/1,3000/100", "N", "8/1,32/1,6000/100", "E", "2024:05:06 07:08:09") == new
     again = jpeg.tagged(new, None, "1/1,2/1,3/100", "S", "1/1,2/1,3/100", "W", None)
     tags = readers.tiff_tags(readers.tiff_block(again))
     assert tags["lat_ref"] == "S" and tags["description"] == "Zürich & more" and jpeg.Block(readers.tiff_block(again)).next == 160
