@@ -195,17 +195,19 @@ def _first_entries(reps: DataFrame, wholes: Wholes, percent: int) -> DataFrame:
 
     enough = (F.size("early") >= count) | (F.size("head") == F.col("n"))
     short = Stored(ordered(reps, "head", often).where(~enough).select("id"), "short").df
-    late = often
+    late, some = often, None
     if not short.isEmpty():
         some = Stored(wholes(short), "short_rows").df
         again = some.select(F.explode("whole").alias("v")).join(often, "v", "left_anti").groupBy("v").count()
         late = Stored(often.union(again.where(F.col("count") > HOT).select("v", F.lit(1).alias("level"))), "late").df
     out = Stored(ordered(reps, "head", late).select("id", "n", F.when(enough, F.slice("all", F.lit(1), count)).alias("prefix")), "prefixes").df
-    if late is not often:
-        rows = out.where("prefix is null").select("id", "n")
-        whole = rows.join(wholes(rows), "id")
-        out = out.where("prefix is not null").unionByName(ordered(whole, "whole", late).select("id", "n", F.slice("all", F.lit(1), count).alias("prefix")))
-    return out
+    if some is None:
+        return out
+    rows = out.where("prefix is null").select("id", "n")
+    fresh = Stored(rows.select("id").join(short, "id", "left_anti"), "fresh").df
+    whole = some if fresh.isEmpty() else some.unionByName(wholes(fresh))
+    late_rows = ordered(rows.join(whole, "id"), "whole", late).select("id", "n", F.slice("all", F.lit(1), count).alias("prefix"))
+    return out.where("prefix is not null").unionByName(late_rows)
 
 
 def _confirmed(labels: Labels, pairs: DataFrame, whole: DataFrame, percent: int) -> None:
@@ -255,43 +257,51 @@ def _repeated(known: DataFrame, percent: int, words: int) -> DataFrame:
 
 def _alike(base: DataFrame, percent: int, words: int) -> DataFrame:
     """id, n_shingles, component_id for ``base`` (id, text), whose ids are all different."""
-    sets = Stored(base.mapInArrow(_rows(words, percent), SETS), "sets").df
-    classes = Stored(sets.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head")), "classes").df
+    spark = base.sparkSession
+    fat = Stored(base.mapInArrow(_rows(words, percent), SETS), "sets")
+    one = Stored(fat.df.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head")), "heads")
+    sets = Stored(fat.df.select("id", "n", "set_key"), "sizes").df
+    fat.drop()
     wholes = lambda ids: base.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(_whole_rows(words), "id long, whole array<long>")
-    reps = classes.select(F.col("rep").alias("id"), "n", "head")
-    prefixes = _first_entries(reps, wholes, percent)
-    labels = Labels(base.sparkSession)
-    _links(labels, Stored(prefixes, "prefixes").df, wholes, percent)
-    rows = sets.join(classes.select("set_key", "rep"), "set_key", "left").withColumn("rep", F.coalesce("rep", "id"))
+    with scratch() as kept:
+        prefixes = Stored(_first_entries(one.df.select(F.col("rep").alias("id"), "n", "head"), wholes, percent), "first_columns")
+        kept.append(prefixes)
+    classes = Stored(one.df.select("set_key", "rep"), "classes").df
+    one.drop()
+    release(spark)
+    labels = Labels(spark)
+    _links(labels, prefixes.df, wholes, percent)
+    rows = sets.join(classes, "set_key", "left").withColumn("rep", F.coalesce("rep", "id"))
     return labels.of(rows, "rep", "component_id").select("id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _links(labels: Labels, prefixes: DataFrame, wholes: Wholes, percent: int) -> None:
     """Unites in ``labels`` all rows that link. ``prefixes``: id, n, prefix."""
-    entries = prefixes.select("id", "n", F.explode("prefix").alias("v"))
+    entries = prefixes.select("id", "n", F.posexplode("prefix").alias("at", "v"))
     sizes = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    shared = Stored(entries.join(sizes, "v"), "shared").df
+    shared = Stored(entries.join(sizes, "v"), "shared")
     near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     # rows that may link lie in one band of sizes or in two that follow each other; in the upper one the lower one's rows are visitors
     step = max(1e-6, math.log(100 / percent) * (1 + 1e-9))
     band = F.floor(F.log("n") / step).cast("int")
     homes = F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits")))
-    long = shared.where(F.col("c") > LIST)
-    banded = long.select("v", "id", "n", F.inline(homes))
+    long = shared.df.where(F.col("c") > LIST)
+    banded = long.select("v", "id", "n", "at", F.inline(homes))
     cut = banded.groupBy("v", "band").agg(F.count("*").alias("c"), F.min(F.when(~F.col("visits"), F.col("id"))).alias("pivot"), F.sum("n").alias("cells")).where("c > 1 and pivot is not null")
     cut = Stored(cut, "cut").df
     blocked = Stored(banded.join(cut.where(F.col("c") > LIST), ["v", "band"]), "blocked").df
 
     # short columns: the counts of each pair's common entries
-    own = shared.where(F.col("c") <= LIST).select("v", F.lit(-1).alias("band"), "id", "n", F.lit(False).alias("visits"))
-    own = own.unionByName(banded.join(cut.where(F.col("c") <= LIST).select("v", "band"), ["v", "band"]).select("v", "band", "id", "n", "visits"))
-    x, y = own.where("not visits").select("v", "band", F.col("id").alias("i"), F.col("n").alias("ni")), own.select("v", "band", F.col("id").alias("j"), F.col("n").alias("nj"), "visits")
+    own = shared.df.where(F.col("c") <= LIST).select("v", F.lit(-1).alias("band"), "id", "n", "at", F.lit(False).alias("visits"))
+    own = own.unionByName(banded.join(cut.where(F.col("c") <= LIST).select("v", "band"), ["v", "band"]).select("v", "band", "id", "n", "at", "visits"))
+    named = lambda k: [F.col("id").alias(k), F.col("n").alias(f"n{k}"), (F.col("n") - 1 - F.col("at")).alias(f"after_{k}")]
+    x, y = own.where("not visits").select("v", "band", *named("i")), own.select("v", "band", *named("j"), "visits")
     both = x.join(y, ["v", "band"]).where((F.col("visits") | (F.col("i") < F.col("j"))) & near(F.col("ni"), F.col("nj")))
-    counts = both.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.least("ni", "nj").alias("n"), F.greatest("ni", "nj").alias("m")).agg(F.count("*").alias("c"))
-    # entries of long columns aren't among these counts
+    counts = both.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.least("ni", "nj").alias("n"), F.greatest("ni", "nj").alias("m")).agg(F.count("*").alias("c"), F.min(F.least("after_i", "after_j")).alias("after"))
+    # behind the last common entry the shorter rest bounds what is common; entries of long columns aren't among these counts
     more = Stored(long.groupBy("id").agg(F.count("*").alias("more")), "more").df
     counts = counts.join(more.toDF("a", "la"), "a", "left").join(more.toDF("b", "lb"), "b", "left")
-    most = F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + rest(F.col("m"), percent)
+    most = F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) + F.least(F.col("after"), rest(F.col("m"), percent))
     least = need(F.col("n"), F.col("m"), percent)
     likely = Stored(counts.where(most >= least).select("a", "b", (F.col("c") / least).alias("e")), "likely").df
 
@@ -301,6 +311,7 @@ def _links(labels: Labels, prefixes: DataFrame, wholes: Wholes, percent: int) ->
     chosen = Stored(chosen.select(F.col("id").alias("a"), (-F.col("x.p")).alias("b")), "chosen").df
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).union(chosen.select(F.explode(F.array("a", "b")))).union(blocked.select("id"))
     whole = Stored(wholes(wanted), "whole").df
+    shared.drop()
     release(prefixes.sparkSession)
 
     _confirmed(labels, chosen, whole, percent)
