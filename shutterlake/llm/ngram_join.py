@@ -42,6 +42,8 @@ LIST = 32
 #: Rows and n-grams of a block of a long column (on average).
 ROWS = 1024
 CELLS = 1 << 20
+#: Bits of the filter that keeps texts of other rows out of a shuffle (16 MB, broadcast).
+MOST_BITS = 1 << 27
 TOP = np.uint64(1 << 63)
 
 #: (id) -> (id, whole): whole rows of the matrix.
@@ -91,6 +93,20 @@ def _whole_rows(words: int):
     return by_batch(build, {"id": pa.int64(), "whole": pa.list_(pa.int64())})
 
 
+def among(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``base`` whose id may be one of ``ids``: a bit for each hash, eight bits for each id and at most ``MOST_BITS``, broadcast as bitmaps.
+
+    It only keeps texts out of a join's shuffle; with more ids than it has room for it lets more through.
+    """
+    bits = min(MOST_BITS, max(1 << 16, 1 << (8 * max(1, ids.count()) - 1).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    # bitmaps of 4,096 bytes
+    maps = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_b"))
+    rows = base.withColumns({"_k": F.bitmap_bucket_number(place), "_p": F.bitmap_bit_position(place)}).join(F.broadcast(maps), "_k")
+    own = F.conv(F.hex(F.expr("substring(_b, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.where(F.call_function("shiftright", own, F.expr("cast(_p % 8 as int)")) % 2 == 1).select(base.columns)
+
+
 def need(n: Column, m: Column, percent: int) -> Column:
     """The least overlap of linked sets."""
     return F.ceil((n + m) * percent / (100 + percent))
@@ -262,7 +278,11 @@ def _alike(base: DataFrame, percent: int, words: int) -> DataFrame:
     one = Stored(fat.df.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head")), "heads")
     sets = Stored(fat.df.select("id", "n", "set_key"), "sizes").df
     fat.drop()
-    wholes = lambda ids: base.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(_whole_rows(words), "id long, whole array<long>")
+
+    def wholes(ids: DataFrame) -> DataFrame:
+        some = Stored(ids.select("id").distinct(), "ids").df
+        return among(base, some).join(some, "id", "left_semi").mapInArrow(_whole_rows(words), "id long, whole array<long>")
+
     with scratch() as kept:
         prefixes = Stored(_first_entries(one.df.select(F.col("rep").alias("id"), "n", "head"), wholes, percent), "first_columns")
         kept.append(prefixes)
