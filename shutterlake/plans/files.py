@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions import exprs
+from shutterlake.functions import exprs, sql
 from shutterlake.operators import library, listings
 from shutterlake.operators.scratch import shared_dir
 from shutterlake.sources import jpeg, readers, sinks, takeout
@@ -119,3 +119,22 @@ def pending_upsert(changes):
     more = changes.where("id % 9 = 0").groupBy("photo_id", "field").agg(F.max("id").alias("id"))
     more = more.select((F.col("id") + 1_000_000).alias("id"), "photo_id", "field", F.lit(None).cast("string").alias("new_value"), F.lit(False).alias("committed"))
     return library.staged(changes, more).select("id", "photo_id", "field", "committed")
+
+
+@query(f"select id, coalesce(trim(location_name) = '' or regexp_full_match(trim(location_name), '[a-z0-9 ]+ digital camera', 'i'), true) as junk from ({fx.OLD}) o", fx.OLD)
+def junk_desc_sql(rows):
+    """The rule called from SQL."""
+    spark = rows.sparkSession
+    sql.register(spark)
+    return spark.sql("select id, is_junk_desc(location_name) as junk from {rows}", rows=rows)
+
+
+TRACK = "(select event_id % 5 as import_id, event_id * 1000003 as us, cast(event_id % 90 as double) as lat, cast(event_id % 180 as double) as lon from events)"
+
+
+@query(f"select us, lat, lon from {TRACK} t where import_id = 3 and us >= 500000000", TRACK[1:-1])
+def track_sql(points):
+    """An import's points from a time on, by a table function."""
+    spark = points.sparkSession
+    sql.register_track(spark, points)
+    return spark.sql("select * from track(3, 500000000, null)")
