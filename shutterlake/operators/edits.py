@@ -96,7 +96,7 @@ def move_plan(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """
     stem, ext = exprs.stem(F.col("filename")), exprs.suffix(F.col("filename"))
     held = files.select("folder", "filename") if taken is None else files.select("folder", "filename").union(taken.select("folder", "filename"))
-    pattern = r"^(.+) \(([0-9]{1,9})\)(\.[^./]+)?$"
+    pattern = r"^(.+) \(([1-9][0-9]{0,8})\)(\.[^./]+)?$"
     part = lambda k: F.regexp_extract("filename", pattern, k)
     used = held.where(F.col("filename").rlike(pattern)).groupBy("folder", F.concat(part(1), part(3)).alias("_base")).agg(F.sort_array(F.collect_set(part(2).cast("long"))).alias("_used"))
     gone = files.limit(0).select("folder", "filename") if taken is None else taken.select("folder", "filename").distinct()
