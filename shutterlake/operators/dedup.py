@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.exprs import duplicate_base, hamming, hash_value, similarity
 
+from .components import roots
 from .scratch import Stored, scratch
 
 PHASH_BITS, DHASH_BITS = 10, 8
@@ -100,28 +104,61 @@ def hamming_pairs(rows: DataFrame, phash_bits: int = PHASH_BITS, dhash_bits: int
     return across.unionByName(within)
 
 
+#: Components with more edges are walked in rounds; others in one pass each.
+WALK_EDGES = 1_000_000
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy walks through components whose edges come together, sorted by b and a. Holds the captured rows of one component."""
+    component, row, captured = None, None, set()
+    for batch in batches:
+        out = []
+        for c, b, a in zip(batch["root"].tolist(), batch["b"].tolist(), batch["a"].tolist(), strict=True):
+            if c != component:
+                component, row, captured = c, None, set()
+            if b != row and a not in captured:  # a's own edges came before
+                out.append((b, a))
+                captured.add(b)
+                row = b
+        yield pd.DataFrame(out, columns=["member", "seed"])
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """Each round decides the rows whose earlier neighbours are all decided or include a seed."""
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    state = Stored(nodes.select("id", F.lit(None).cast("boolean").alias("is_seed")), "state")
+    while not state.df.where("is_seed is null").isEmpty():
+        below = edges.join(state.df.toDF("a", "s"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("caught"), F.bool_and(F.col("s").isNotNull()).alias("known"))
+        new = F.when(F.col("is_seed").isNotNull(), F.col("is_seed")).when(F.coalesce("caught", F.lit(False)), F.lit(False)).when(F.coalesce("known", F.lit(True)), F.lit(True))
+        later = Stored(state.df.join(below, "id", "left").select("id", new.alias("is_seed")), "state")
+        state.drop()
+        state = later
+    seeds = state.df.where("is_seed").select(F.col("id").alias("a"))
+    caught = state.df.where("not is_seed").select(F.col("id").alias("b"))
+    return edges.join(seeds, "a").join(caught, "b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("seed"))
+
+
 def stars(pairs: DataFrame) -> DataFrame:
-    """Greedy star clusters over pairs a < b in the order of ids: member, seed.
+    """Greedy star clusters over pairs a < b (long) in the order of ids: member, seed.
 
     A row is a seed if no earlier neighbour is one, and is captured by its
-    smallest neighbouring seed otherwise. Each round decides the rows whose
-    earlier neighbours are all decided or include a seed.
+    smallest neighbouring seed otherwise. Components of up to ``WALK_EDGES`` edges
+    are walked each in one pass, many to a task; larger ones in rounds.
     """
     with scratch() as kept:
         edges = Stored(pairs.select("a", "b"), "pairs").df
-        nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-        state = Stored(nodes.select("id", F.lit(None).cast("boolean").alias("is_seed")), "state")
-        while not state.df.where("is_seed is null").isEmpty():
-            below = edges.join(state.df.toDF("a", "s"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("caught"), F.bool_and(F.col("s").isNotNull()).alias("known"))
-            new = F.when(F.col("is_seed").isNotNull(), F.col("is_seed")).when(F.coalesce("caught", F.lit(False)), F.lit(False)).when(F.coalesce("known", F.lit(True)), F.lit(True))
-            later = Stored(state.df.join(below, "id", "left").select("id", new.alias("is_seed")), "state")
-            state.drop()
-            state = later
-        seeds = state.df.where("is_seed").select(F.col("id").alias("a"))
-        caught = state.df.where("not is_seed").select(F.col("id").alias("b"))
-        out = Stored(edges.join(seeds, "a").join(caught, "b").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("seed")), "stars")
-        kept.append(out)
-    return out.df
+        # a row's larger neighbours stand in the component of its own root
+        root = roots(edges).df.toDF("root", "b")
+        placed = Stored(edges.join(root, "b").select("root", "b", "a"), "placed").df
+        large = Stored(placed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > WALK_EDGES).select("root"), "large").df
+        some = not large.isEmpty()
+        small = placed.join(large, "root", "left_anti") if some else placed
+        out = small.distinct().repartition("root").sortWithinPartitions("root", "b", "a").mapInPandas(_walked, "member long, seed long")
+        if some:
+            out = out.unionByName(_rounds(Stored(placed.join(large, "root").select("a", "b"), "long").df))
+        result = Stored(out, "stars")
+        kept.append(result)
+    return result.df
 
 
 def perceptual(rows: DataFrame, in_exact: DataFrame | None = None) -> DataFrame:

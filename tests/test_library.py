@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs
-from shutterlake.operators import dedup, library, temporal
+from shutterlake.operators import components, dedup, library, temporal
 from shutterlake.plans import catalogue, edits  # noqa: F401
 from shutterlake.sources import readers
 from shutterlake.streaming.ingest import stream_into_library
@@ -66,6 +66,48 @@ def test_stars_equal_the_greedy_walk(spark):
     assert {r.member: r.seed for r in dedup.stars(spark.createDataFrame(sorted(want), "a long, b long")).collect()} == seed_of
 
 
+def greedy(pairs):
+    near, seed_of = {}, {}
+    for a, b in pairs:
+        near.setdefault(b, set()).add(a)
+        near.setdefault(a, set())
+    for b in sorted(near):
+        seeds = [a for a in near[b] if a not in seed_of]
+        if seeds:
+            seed_of[b] = min(seeds)
+    return seed_of
+
+
+@pytest.mark.parametrize(("walk", "chunk"), [(1_000_000, 1_000_000), (3, 1)])
+def test_stars_of_chains_and_random_graphs(spark, monkeypatch, walk, chunk):
+    monkeypatch.setattr(dedup, "WALK_EDGES", walk)
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = random.Random(walk)
+    pairs = {(i, i + 1) for i in range(1000 if walk > 3 else 12)}  # a burst: each picture near the next
+    pairs |= {tuple(sorted(rng.sample(range(2000, 2060), 2))) for _ in range(60)} | {(3000, 3000 + k) for k in range(1, 40)}
+    rows = spark.createDataFrame([*sorted(pairs), (0, 1)], "a long, b long").repartition(5)
+    assert {r.member: r.seed for r in dedup.stars(rows).collect()} == greedy(pairs)
+    assert dedup.stars(rows.limit(0)).collect() == []
+
+
+def test_components_equal_union_find(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rng = random.Random(4)
+        ids = rng.sample(range(10_000), 64)
+        pairs = [(ids[i], ids[i + 1]) for i in range(40)] + [tuple(rng.sample(ids[42:], 2)) for _ in range(12)]
+        root = {i: i for p in pairs for i in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        found = components.roots(spark.createDataFrame(pairs, "a long, b long").repartition(6))
+        assert {r.id: r.root for r in found.df.collect()} == {i: r for i, r in root.items() if i != r}
+        found.drop()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bands_lose_no_near_hash(spark):
     rng = random.Random(8)
     turn = lambda h, n: h ^ sum(1 << i for i in rng.sample(range(64), n))
