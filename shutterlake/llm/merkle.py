@@ -81,6 +81,12 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(changed, inside))
 
 
+def _place(bounds: Column, value: Column, n: int) -> Column:
+    """The last of ``n`` sorted bounds that is at most ``value``, 0 where none is or where it is null: by halving steps."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step) <= value, at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with next_<column>: the row that follows in the order of doc_id (then of ``columns``); the first follows the last.
 
@@ -92,18 +98,16 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     ranges = min(RANGES, max(1, n // RANGE_ROWS))
     shares = ", ".join(str(k / ranges) for k in range(ranges)) if ranges > 1 else "0.0"
     edges = docs.agg(F.min("doc_id").alias("low"), F.expr(f"percentile_approx(doc_id, array({shares}), 10000)").alias("edges")).first()
-    bounds = sorted({edges["low"], *(edges["edges"] or [])} - {None})
-    if not bounds:
-        bounds = [0]
-    marks = F.expr(f"from_json('{bounds}', 'array<bigint>')")
-    own = F.greatest(F.lit(0), F.coalesce(F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col("doc_id"))) - 1, F.lit(0)))
+    bounds = sorted({edges["low"], *(edges["edges"] or [])} - {None}) or [0]
+    place = lambda r, late: F.struct(r.alias("r"), F.lit(late).alias("late"))
+    own, first = place(F.col("_r"), 0), F.lit(True)
+    out = docs.withColumn("_bounds", F.from_json(F.lit(str(bounds)), "array<bigint>"))
+    out = out.withColumn("_r", _place(F.col("_bounds"), F.col("doc_id"), len(bounds)))
     if len(bounds) > 1:
-        first = F.expr("array_contains(_bounds, doc_id)")
-        before = F.pmod(F.col("_r") - 1, F.lit(len(bounds)))
-        goes = F.when(F.coalesce(first, F.lit(False)), F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("late")), F.struct(before.alias("r"), F.lit(1).alias("late")))).otherwise(F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("late"))))
-    else:
-        goes = F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("late")), F.struct(F.col("_r").alias("r"), F.lit(1).alias("late")))
-    out = docs.withColumn("_bounds", marks).withColumn("_r", own).withColumn("_to", F.explode(goes)).select(*docs.columns, F.col("_to.r").alias("_r"), F.col("_to.late").alias("_late"))
+        first = F.coalesce(F.get("_bounds", F.col("_r")) == F.col("doc_id"), F.lit(False))
+    before = place(F.pmod(F.col("_r") - 1, F.lit(len(bounds))), 1)
+    goes = F.when(first, F.array(own, before)).otherwise(F.array(own))
+    out = out.withColumn("_to", F.explode(goes)).select(*docs.columns, F.col("_to.r").alias("_r"), F.col("_to.late").alias("_late"))
     order = Window.partitionBy("_r").orderBy("_late", "doc_id", *columns)
     return out.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"_late": F.col("_late")}).where("_late = 0").drop("_late", "_r")
 

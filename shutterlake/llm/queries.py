@@ -125,10 +125,11 @@ with w as (select doc_id, {_WORDS} as words from documents),
 g as (select doc_id, s, md5(array_to_string(words[s + 1 : s + 50], ' ')) as h
       from (select doc_id, words, unnest(range(0, len(words) - 49)) as s from w where len(words) >= 50)),
 t as (select h, min(doc_id) as low, max(doc_id) as high from g group by h having min(doc_id) < max(doc_id)),
-r as (select doc_id, s, min(case when doc_id = low then high else low end) as other from g join t using (h) group by doc_id, s),
-b as (select doc_id, s, other, case when s <= max(s + 50) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from r),
-n as (select doc_id, s, other, sum(fresh) over (partition by doc_id order by s) as k from b)
-select doc_id, cast(min(s) as int) as start_word, cast(max(s) + 50 as int) as end_word, min(other) as other_doc_id from n group by doc_id, k""",
+r as (select doc_id, s, case when doc_id = low then high else low end as other from g join t using (h)),
+b as (select doc_id, s, case when s <= max(s + 50) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from (select distinct doc_id, s from r)),
+n as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as k from b),
+p as (select doc_id, k, cast(min(s) as int) as start_word, cast(max(s) + 50 as int) as end_word from n group by doc_id, k)
+select distinct p.doc_id, p.start_word, p.end_word, r.other as other_doc_id from r join n using (doc_id, s) join p using (doc_id, k)""",
     "op6_top_k": """
 with q as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

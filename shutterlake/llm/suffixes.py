@@ -6,7 +6,9 @@ same suffix. Suffixes whose first words are unique in the corpus are dropped; th
 others are sorted by what follows, neighbours are compared, and matches are
 extended to the right and to the left. A group of three or more suffixes with the
 same beginning is extended jointly: for each number of words to the left, members
-that agree on both sides are grouped, which equals comparing all pairs.
+that agree on both sides are grouped, which equals comparing all pairs. A suffix
+answers for the windows that have selected it, so each passage is looked at under
+one beginning, with all documents that have it.
 
 Beginnings with more than ``HOT`` suffixes (a licence text, a large group of
 copies) aren't sorted in one task. Their passages of ``LENGTH`` words are counted by
@@ -68,18 +70,18 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, suffixes in zip(batch["doc_id"], batch["text"], batch["suffixes"], strict=True):
             words = word_hashes(text, hashes)
             low = (words >> np.uint64(32)).astype("<u4")
+            _, chosen = retained(ngram_hashes(words, SEED))  # ascending
             passages = None
             for s in suffixes:
                 p = s["pos"]
+                a, b = int(np.searchsorted(chosen, p)), int(np.searchsorted(chosen, p, "right"))
                 if not s["hot"]:
-                    out.append((s["key"], doc, p, low[p + SEED : p + LENGTH].tobytes(), low[max(0, p - SIDE) : p][::-1].tobytes()))
+                    out.append((s["key"], doc, p, p - b + 1, p - a, low[p + SEED : p + LENGTH].tobytes(), low[max(0, p - SIDE) : p][::-1].tobytes()))
                     continue
                 if passages is None:
                     passages = ngram_hashes(words, LENGTH).view(np.int64)
-                    _, chosen = retained(ngram_hashes(words, SEED))
-                for start in np.flatnonzero(chosen == p) if len(words) < 2000 else np.arange(np.searchsorted(chosen, p), np.searchsorted(chosen, p, "right")):
-                    out.append((passages[start], doc, int(start), None, None))
-        yield pd.DataFrame(out, columns=["key", "doc_id", "pos", "right", "left"])
+                out += [(passages[start], doc, start, None, None, None, None) for start in range(a, b)]
+        yield pd.DataFrame(out, columns=["key", "doc_id", "pos", "least", "most", "right", "left"]).astype({"least": "Int32", "most": "Int32"})
 
 
 def _unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +93,11 @@ def _unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def extended(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, right: list[bytes], left: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(doc_id, first word, end, other doc_id) of passages that whole groups of sorted suffixes share across documents."""
+def extended(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, least: np.ndarray, most: np.ndarray, right: list[bytes], left: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """(doc_id, first word, end, other doc_id) of passages that whole groups of sorted suffixes share across documents.
+
+    ``least`` and ``most`` bound the words to the left of the windows that a suffix answers for.
+    """
     n, out = len(keys), []
     if n < 2:
         return out
@@ -104,11 +109,12 @@ def extended(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, right: list
     two = first[size == 2]
     two = two[docs[two] != docs[two + 1]]
     agree = lambda m, s: np.where((x := (m[two] != m[two + 1]) | (np.arange(SIDE) >= np.minimum(s[two], s[two + 1])[:, None])).any(1), x.argmax(1), SIDE)
-    ahead, back = agree(r, rn), agree(l, ln)
-    for i, a, b in zip(two, ahead, back, strict=True):
-        if a + b >= SIDE:
+    low = np.maximum(SIDE - agree(r, rn), np.maximum(least[two], least[two + 1]))
+    high = np.minimum(agree(l, ln), np.minimum(most[two], most[two + 1]))
+    for i, a, b in zip(two, low, high, strict=True):
+        if a <= b:
             for x, y in ((i, i + 1), (i + 1, i)):
-                out.append((docs[x], places[x] - b, places[x] + SEED + a, docs[y]))
+                out.append((docs[x], places[x] - b, places[x] - a + LENGTH, docs[y]))
     # more: group by what b words to the left and the rest to the right are
     rows = np.flatnonzero(np.repeat(size > 2, size))
     if not len(rows):
@@ -116,7 +122,7 @@ def extended(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, right: list
     roll = lambda m: np.concatenate([np.zeros((len(rows), 1), np.uint64), np.array(_rolled(m[rows])).T], axis=1)
     hr, hl = roll(r), roll(l)
     for b in range(SIDE + 1):
-        fits = (ln[rows] >= b) & (rn[rows] >= SIDE - b)
+        fits = (least[rows] <= b) & (b <= most[rows])
         some = rows[fits]
         if len(some) < 2:
             continue
@@ -157,31 +163,33 @@ def _sorted_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _all(rows: pd.DataFrame) -> list[tuple[int, int, int, int]]:
-    return extended(rows["key"].to_numpy(), rows["doc_id"].to_numpy(), rows["pos"].to_numpy(), list(rows["right"]), list(rows["left"]))
+    return extended(*(rows[c].to_numpy() for c in ("key", "doc_id", "pos", "least", "most")), list(rows["right"]), list(rows["left"]))
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stretches of touching passages, with a row for each of their links."""
     for batch in batches:
         out = []
         for doc, found in zip(batch["doc_id"], batch["found"], strict=True):
-            spans: list[list[int]] = []
+            start, end, others = None, -1, set()
             for s in sorted((s["start"], s["end"], s["other_doc_id"]) for s in found):
-                if spans and s[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], s[1])
-                    spans[-1][2] = min(spans[-1][2], s[2])
-                else:
-                    spans.append(list(s))
-            out += [(doc, *s) for s in spans]
+                if s[0] > end:
+                    out += [(doc, start, end, o) for o in sorted(others)]
+                    start, end, others = s[0], s[1], set()
+                end = max(end, s[1])
+                others.add(s[2])
+            out += [(doc, start, end, o) for o in sorted(others)]
         yield pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "other_doc_id"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each stretch of a document that passages of other documents cover: doc_id, start_word, end_word (exclusive), other_doc_id.
+    """One row for each link of a stretch of a document that passages of other documents cover: doc_id, start_word, end_word (exclusive), other_doc_id.
 
     A passage is LENGTH words (split at ASCII white space, A-Z lower-cased)
     that stand in documents with different doc_ids; overlapping or touching ones
-    make one stretch. other_doc_id is the smallest of its passages' links: each
-    links to the smallest doc_id that has it, in that document to the largest. Documents without such a passage have no row. Null and short texts
+    make one stretch. Each passage links to the smallest doc_id that has it, in
+    that document to the largest; a stretch has a row for each different link of its
+    passages, so all documents that share a passage are connected by rows. Documents without such a passage have no row. Null and short texts
     and rows without a doc_id take no part; rows that repeat are one document;
     other columns are ignored. The result is a table in the shared folder; the
     others written for it are dropped.
@@ -201,7 +209,7 @@ def _repeated_passages(docs: DataFrame) -> DataFrame:
     grouped = Stored(left.groupBy("row").agg(F.collect_set(F.struct("pos", "key", "hot")).alias("suffixes")), "suffixes")
     seeds.drop()
     release(docs.sparkSession)
-    suffixes = Stored(base.join(grouped.df, "row").mapInPandas(_contexts, "key long, doc_id long, pos int, right binary, left binary"), "contexts")
+    suffixes = Stored(base.join(grouped.df, "row").mapInPandas(_contexts, "key long, doc_id long, pos int, least int, most int, right binary, left binary"), "contexts")
     for t in (known, grouped):
         t.drop()
     release(docs.sparkSession)

@@ -67,12 +67,20 @@ def brute_passages(rows, length):
         words = t.encode().lower().split() if t else []
         for s in range(len(words) - length + 1):
             at.setdefault(tuple(words[s : s + length]), set()).add((d, s))
-    covered = {}
+    links = {}
     for places in at.values():
-        if len({d for d, _ in places}) > 1:
+        holders = {d for d, _ in places}
+        if len(holders) > 1:
             for d, s in places:
-                covered.setdefault(d, set()).update(range(s, s + length))
-    return covered
+                links.setdefault(d, set()).add((s, max(holders) if d == min(holders) else min(holders)))
+    out = set()
+    for d, found in links.items():
+        starts = sorted({s for s, _ in found})
+        while starts:
+            n = next((i for i in range(1, len(starts)) if starts[i] > starts[i - 1] + length), len(starts))
+            out |= {(d, starts[0], starts[n - 1] + length, o) for s, o in found if starts[0] <= s <= starts[n - 1]}
+            starts = starts[n:]
+    return out
 
 
 @pytest.mark.parametrize(("seed", "hot"), [(1, 500), (2, 4), (3, 2)])
@@ -96,12 +104,21 @@ def test_passages_equal_brute_force(spark, monkeypatch, seed, hot):
         rows.append((i, " ".join(text)))
     rows += [(200, None), (201, ""), (4, rows[4][1])]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
-    got = {}
-    for r in suffixes.repeated_passages(docs).collect():
-        assert r.other_doc_id != r.doc_id
-        assert not got.setdefault(r.doc_id, set()) & set(range(r.start_word, r.end_word))
-        got[r.doc_id].update(range(r.start_word, r.end_word))
+    got = [tuple(r) for r in suffixes.repeated_passages(docs).collect()]
+    assert set(got) == brute_passages(rows, suffixes.LENGTH) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("hot", [500, 1])
+def test_a_merged_stretch_keeps_all_its_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = words(60), words(60), words(60)
+    rows = [(5, a + b), (9, b + c), (2, words(30) + a), (1, c + words(40)), (7, words(300_000) + b)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_passages(rows, suffixes.LENGTH)
+    assert {(5, 0, 120, 2), (5, 0, 120, 9), (9, 0, 120, 1), (9, 0, 120, 5), (7, 300_000, 300_060, 5)} <= got
 
 
 def test_passages_of_an_empty_table(spark):
