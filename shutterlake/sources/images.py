@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .encode import jpeg
+
 
 def pictures(spark: SparkSession, root: str) -> DataFrame:
     """path, height, width, channels and data (rows of blue, green, red) of all files below ``root``; data is null where a file is no picture that can be decoded."""
@@ -87,8 +89,18 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def thumbnails(images: DataFrame, longest: int = 400) -> DataFrame:
-    """path and thumbnail: a PNG in base64 whose longer side has at most ``longest`` pixels; null for what can't be decoded. Small pictures keep their size."""
+def smaller(rgb: np.ndarray, longest: int) -> np.ndarray:
+    """The picture with a longer side of at most ``longest`` pixels; small ones keep their size."""
+    h, w, _ = rgb.shape
+    share = min(1.0, longest / max(h, w))
+    if share == 1:
+        return rgb
+    to = max(1, round(h * share)), max(1, round(w * share))
+    return np.stack([np.rint(scaled(rgb[:, :, k].astype(float), *to)) for k in range(3)], axis=2).astype(np.uint8)
+
+
+def thumbnails(images: DataFrame, longest: int = 400, quality: int = 75) -> DataFrame:
+    """path and thumbnail: a JPEG in base64 whose longer side has at most ``longest`` pixels; null for what can't be decoded. Small pictures keep their size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,11 +108,7 @@ def thumbnails(images: DataFrame, longest: int = 400) -> DataFrame:
             for path, h, w, c, data in zip(*(batch[k] for k in ("path", "height", "width", "channels", "data")), strict=True):
                 text = None
                 if data is not None:
-                    rgb, share = pixels(h, w, c, data), min(1.0, longest / max(h, w))
-                    if share < 1:
-                        to = max(1, round(h * share)), max(1, round(w * share))
-                        rgb = np.stack([np.rint(scaled(rgb[:, :, k].astype(float), *to)) for k in range(3)], axis=2)
-                    text = base64.b64encode(png(rgb)).decode()
+                    text = base64.b64encode(jpeg(smaller(pixels(h, w, c, data), longest), quality)).decode()
                 rows.append((path, text))
             yield pd.DataFrame(rows, columns=["path", "thumbnail"]).astype(object)
 
