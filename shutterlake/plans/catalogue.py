@@ -12,7 +12,7 @@ from shutterlake.operators import dedup, library, temporal
 
 from . import fixtures as fx
 
-TABLES = ("events", "part", "documents", "lineitem", "embeddings", "customer", "orders", "nation")
+TABLES = ("events", "part", "documents", "lineitem", "embeddings", "customer", "orders", "nation", "supplier")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

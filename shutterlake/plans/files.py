@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import exprs, sql
 from shutterlake.operators import library, listings
 from shutterlake.operators.scratch import shared_dir
-from shutterlake.sources import jpeg, readers, sinks, takeout
+from shutterlake.sources import encode, images, jpeg, readers, roots, sinks, takeout
 
 from . import fixtures as fx
 from .catalogue import G, P, query
@@ -138,3 +139,37 @@ def track_sql(points):
     spark = points.sparkSession
     sql.register_track(spark, points)
     return spark.sql("select * from track(3, 500000000, null)")
+
+
+TURNS = "select user_id as number, count(*) as n from events where user_id % 4 < 2 group by user_id"
+
+
+@query(f"select distinct p.id, p.scan_root, p.status from {P} where p.scan_root in (select concat('/r', cast(number % 20 as varchar)) from ({TURNS}) t where n >= 2)", fx.PHOTOS, TURNS)
+def library_of_roots(photos, scans):
+    """The library laid out by root; reading the roots of some scans leaves other folders alone."""
+    at = _folder(photos, "library")
+    roots.save(photos.select("id", "scan_root", "status").distinct(), at)
+    library = roots.load(photos.sparkSession, at, "id string, status string, scan_root string")
+    some = scans.where("n >= 2").select(F.concat(F.lit("/r"), F.col("number") % 20).alias("scan_root")).distinct()
+    return roots.of_roots(library, some).select("id", "scan_root", "status")
+
+
+SQUARES = "select s_suppkey as number, s_suppkey * 7 % 256 as level, s_suppkey % 50 + 1 as width, s_suppkey % 30 + 1 as height from supplier"
+
+
+@query(f"select number, width, height, cast(level as bigint) as darkest, cast(level as bigint) as lightest from ({SQUARES}) s", SQUARES)
+def pictures_read_back(squares):
+    """Grey pictures encoded as JPEG files at full quality and decoded by Spark."""
+    root = _folder(squares, "pictures")
+
+    def write(rows) -> None:
+        for row in rows:
+            at = f"{root}/{row['number'] % 16}/{row['number']}.jpg"
+            store, path = sinks.opened(at)
+            store.create_dir(path[: path.rfind("/")])
+            sinks.put(at, encode.jpeg(np.full((int(row["height"]), int(row["width"]), 3), int(row["level"]), np.uint8), 100))
+
+    squares.foreachPartition(write)
+    number = F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long")
+    found = images.pictures(squares.sparkSession, root).mapInPandas(images.levels, "path string, height long, width long, darkest long, lightest long")
+    return found.select(number.alias("number"), "width", "height", "darkest", "lightest")

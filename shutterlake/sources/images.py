@@ -81,6 +81,14 @@ def hashes(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, "path string, phash string, dhash string")
 
 
+def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """path, height, width and the least and largest value of each picture of ``pictures``; nulls where it can't be decoded."""
+    for batch in batches:
+        raw = [None if data is None else np.frombuffer(data, np.uint8) for data in batch["data"]]
+        least, most = ([None if x is None else int(f(x)) for x in raw] for f in (np.min, np.max))
+        yield batch[["path", "height", "width"]].assign(darkest=pd.array(least, "Int64"), lightest=pd.array(most, "Int64"))
+
+
 def png(rgb: np.ndarray) -> bytes:
     """A PNG file, eight bits a channel."""
     h, w, _ = rgb.shape
