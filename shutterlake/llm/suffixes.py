@@ -10,14 +10,19 @@ that agree on both sides are grouped, which equals comparing all pairs. A suffix
 answers for the windows that have selected it, so each passage is looked at under
 one beginning, with all documents that have it.
 
-Beginnings with more than ``HOT`` suffixes (a licence text, a large group of
-copies) aren't sorted in one task. Their passages of ``LENGTH`` words are counted by
-hash instead, with partial sums before the shuffle.
+Suffixes of beginnings that more than ``HOT`` share (a licence text, a large group
+of copies) are first reduced to one row for each context, with its smallest and
+largest doc_id: copies become one suffix. Where more than ``HOT`` contexts are left,
+the beginning is made deeper: windows with about as many words to the left share
+that many words there and the rest to the right, and these join the key. That is
+repeated for ever narrower ranges (``WIDTHS``); groups go to the array as soon as
+they fit a task. At the narrowest a group's members are equal passages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +34,8 @@ from .common import Stored, WordHashes, ngram_hashes, release, scratch
 LENGTH, SEED = 50, 12
 SIDE = LENGTH - SEED
 HOT = 500
+#: Numbers of words to the left that the windows under one beginning may have; each width divides the one before.
+WIDTHS = (64, 16, 4, 1)
 
 
 def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -63,7 +70,7 @@ def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each suffix that isn't hot, the words (32-bit hashes) after its seed and, from right to left, before it; for hot ones the hash of each passage they stand for."""
+    """For each suffix the words (32-bit hashes) after its seed and, from right to left, before it, and how many words to the left the windows have that it answers for."""
     hashes = WordHashes()
     for batch in batches:
         out = []
@@ -71,17 +78,11 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = word_hashes(text, hashes)
             low = (words >> np.uint64(32)).astype("<u4")
             _, chosen = retained(ngram_hashes(words, SEED))  # ascending
-            passages = None
             for s in suffixes:
                 p = s["pos"]
                 a, b = int(np.searchsorted(chosen, p)), int(np.searchsorted(chosen, p, "right"))
-                if not s["hot"]:
-                    out.append((s["key"], doc, p, p - b + 1, p - a, low[p + SEED : p + LENGTH].tobytes(), low[max(0, p - SIDE) : p][::-1].tobytes()))
-                    continue
-                if passages is None:
-                    passages = ngram_hashes(words, LENGTH).view(np.int64)
-                out += [(passages[start], doc, start, None, None, None, None) for start in range(a, b)]
-        yield pd.DataFrame(out, columns=["key", "doc_id", "pos", "least", "most", "right", "left"]).astype({"least": "Int32", "most": "Int32"})
+                out.append((s["key"], s["hot"], doc, p, p - b + 1, p - a, low[p + SEED : p + LENGTH].tobytes(), low[max(0, p - SIDE) : p][::-1].tobytes()))
+        yield pd.DataFrame(out, columns=["key", "hot", "doc_id", "pos", "least", "most", "right", "left"])
 
 
 def _unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,23 +148,58 @@ def _rolled(m: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sorted_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Extends groups as they come, sorted; the last group of a batch waits for the next."""
-    names = ["doc_id", "start", "end", "other_doc_id"]
-    held = None
-    for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        keys = held["key"].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:
-            yield pd.DataFrame(_all(held.iloc[:cut]), columns=names)
-            held = held.iloc[cut:]
-    if held is not None and len(held):
-        yield pd.DataFrame(_all(held), columns=names)
+def alike(keys: np.ndarray, lows: np.ndarray, highs: np.ndarray, least: np.ndarray, most: np.ndarray, right: list[bytes], left: list[bytes]) -> list[np.ndarray]:
+    """Number of the row, fewest and most words to the left, smallest and largest doc_id of passages that whole groups of sorted contexts share.
+
+    A context stands for all suffixes that have it; ``lows`` and ``highs`` are their smallest and largest doc_ids.
+    """
+    hr, hl = (np.column_stack([np.zeros(len(keys), np.uint64), *_rolled(_unpacked(side)[0])]) for side in (right, left))
+    parts = [np.zeros((4, 0), np.int64)]
+    for b in range(SIDE + 1):
+        some = np.flatnonzero((least <= b) & (b <= most))
+        if not len(some):
+            continue
+        mixed = (keys[some].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hl[some, b]) * np.uint64(0xD6E8FEB86659FD93) + hr[some, SIDE - b]
+        _, starts, group = np.unique(np.sort(mixed), return_index=True, return_inverse=True)
+        some = some[np.argsort(mixed, kind="stable")]
+        low, high = np.minimum.reduceat(lows[some], starts)[group], np.maximum.reduceat(highs[some], starts)[group]
+        shared = low < high
+        parts.append(np.stack([some, np.full(len(some), b), low, high])[:, shared])
+    row, b, low, high = (x := np.concatenate(parts, axis=1))[:, np.lexsort((x[1], x[3], x[2], x[0]))]
+    if not len(row):
+        return [row, b, b, low, high]
+    # runs of windows with the same two documents
+    fresh = np.r_[True, (row[1:] != row[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (b[1:] != b[:-1] + 1)]
+    first = np.flatnonzero(fresh)
+    return [row[first], b[first], b[np.r_[first[1:], len(b)] - 1], low[first], high[first]]
+
+
+def _by_group(work: Callable[[pd.DataFrame], pd.DataFrame]):
+    """For mapInPandas: ``work`` gets whole groups of sorted keys as they come; the last group of a batch waits for the next."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = held["key"].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut:
+                yield work(held.iloc[:cut])
+                held = held.iloc[cut:]
+        if held is not None and len(held):
+            yield work(held)
 
-def _all(rows: pd.DataFrame) -> list[tuple[int, int, int, int]]:
-    return extended(*(rows[c].to_numpy() for c in ("key", "doc_id", "pos", "least", "most")), list(rows["right"]), list(rows["left"]))
+    return run
+
+
+def _suffixes(rows: pd.DataFrame) -> pd.DataFrame:
+    out = extended(*(rows[c].to_numpy() for c in ("key", "doc_id", "pos", "least", "most")), list(rows["right"]), list(rows["left"]))
+    return pd.DataFrame(out, columns=["doc_id", "start", "end", "other_doc_id"])
+
+
+def _classes(rows: pd.DataFrame) -> pd.DataFrame:
+    row, *out = alike(*(rows[c].to_numpy() for c in ("key", "low", "high", "least", "most")), list(rows["right"]), list(rows["left"]))
+    return pd.DataFrame(dict(zip(("class", "least", "most", "low", "high"), (rows["class"].to_numpy()[row], *out), strict=True)))
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,13 +245,48 @@ def _repeated_passages(docs: DataFrame) -> DataFrame:
     grouped = Stored(left.groupBy("row").agg(F.collect_set(F.struct("pos", "key", "hot")).alias("suffixes")), "suffixes")
     seeds.drop()
     release(docs.sparkSession)
-    suffixes = Stored(base.join(grouped.df, "row").mapInPandas(_contexts, "key long, doc_id long, pos int, least int, most int, right binary, left binary"), "contexts")
+    suffixes = base.join(grouped.df, "row").mapInPandas(_contexts, "key long, hot boolean, doc_id long, pos int, least int, most int, right binary, left binary")
+    suffixes = Stored(suffixes.withColumn("class", F.when(F.col("hot"), F.xxhash64("key", "least", "most", "right", "left"))), "contexts")
     for t in (known, grouped):
         t.drop()
     release(docs.sparkSession)
-    rare = suffixes.df.where("right is not null").repartition("key").sortWithinPartitions("key", "right", "doc_id", "pos").mapInPandas(_sorted_suffixes, "doc_id long, start int, end int, other_doc_id long")
-    hot = suffixes.df.where("right is null").select(F.col("key"), "doc_id", F.col("pos").alias("start"))
-    twice = Stored(hot.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "twice")
-    often = hot.join(twice.df, "key").select("doc_id", "start", (F.col("start") + LENGTH).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other_doc_id"))
+    rare = suffixes.df.where("not hot").repartition("key").sortWithinPartitions("key", "right", "doc_id", "pos").mapInPandas(_by_group(_suffixes), "doc_id long, start int, end int, other_doc_id long")
+    often = _hot(suffixes.df.where("hot"))
     spans = rare.unionByName(often).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "other_doc_id")).alias("found"))
     return spans.mapInPandas(_joined, "doc_id long, start_word int, end_word int, other_doc_id long")
+
+
+def _hot(suffixes: DataFrame) -> DataFrame:
+    """doc_id, start, end, other_doc_id of the passages under beginnings that many suffixes share."""
+    context = ["class", "key", "least", "most", "right", "left"]
+    classes = suffixes.groupBy(context).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).withColumn("seed", F.col("key"))
+    found = []
+    for width in WIDTHS[1:]:
+        classes = Stored(classes, "classes").df
+        large = Stored(classes.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), "large").df
+        found.append(_in_arrays(classes.join(large, "key", "left_anti")))
+        if large.isEmpty():
+            classes = None
+            break
+        classes = _deeper(classes.join(large, "key", "left_semi"), width)
+    if classes is not None:  # one number of words to the left: members of a group are equal passages
+        classes = Stored(classes.select("class", "key", "least", "most", "low", "high"), "classes").df
+        groups = classes.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+        found.append(classes.select("class", "key", "least", "most").join(groups, "key").select("class", "least", "most", "low", "high"))
+    shared = Stored(reduce(DataFrame.unionByName, found), "shared").df
+    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    return suffixes.select("class", "doc_id", "pos").join(shared, "class").select("doc_id", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end"), other.alias("other_doc_id"))
+
+
+def _in_arrays(classes: DataFrame) -> DataFrame:
+    ordered = classes.repartition("key").sortWithinPartitions("key", "right", "class")
+    return ordered.mapInPandas(_by_group(_classes), "class long, least int, most int, low long, high long")
+
+
+def _deeper(classes: DataFrame, width: int) -> DataFrame:
+    """A row for each range of ``width`` numbers of words to the left that a context has windows in; its key has the words that all windows of the range share."""
+    rows = classes.select("*", F.explode(F.expr(f"sequence(least div {width}, most div {width})")).alias("at"))
+    low, high = F.col("at") * width, F.least((F.col("at") + 1) * width - 1, F.lit(SIDE))
+    rows = rows.withColumns({"from": low.cast("int"), "to": high.cast("int")})
+    key = F.xxhash64("seed", "from", F.expr("substring(left, 1, 4 * from)"), F.expr(f"substring(right, 1, 4 * ({SIDE} - to))"))
+    return rows.withColumns({"key": key, "least": F.greatest("least", "from"), "most": F.least("most", "to")}).drop("at", "from", "to")

@@ -83,7 +83,7 @@ def brute_passages(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 500), (2, 4), (3, 2)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, 500), (2, 4), (3, 2), (4, 0)])
 def test_passages_equal_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(seed)
@@ -121,5 +121,19 @@ def test_a_merged_stretch_keeps_all_its_links(spark, monkeypatch, hot):
     assert {(5, 0, 120, 2), (5, 0, 120, 9), (9, 0, 120, 1), (9, 0, 120, 5), (7, 300_000, 300_060, 5)} <= got
 
 
+@pytest.mark.parametrize("hot", [500, 6])
+def test_a_common_passage_in_many_surroundings(spark, monkeypatch, hot):
+    """Its beginnings stay common down to equal passages; copies of a text are one context."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b = words(62), words(90)
+    rows = [(d, words(rng.randint(0, 45)) + a[: rng.choice([53, 62])] + words(rng.randint(0, 45))) for d in range(40)]
+    rows += [(d, b + words(20)) for d in range(40, 44)] + [(d, rows[3][1]) for d in range(50, 90)] + [(91, a + words(3) + a)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    got = [tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert set(got) == brute_passages(rows, suffixes.LENGTH) and len(got) == len(set(got))
+
+
 def test_passages_of_an_empty_table(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
