@@ -34,13 +34,15 @@ SIZE = 4096
 UNIT, SHORT = 8, 64
 #: Share of a sequence that a pattern fills at least.
 FILL = 0.98
+#: One run of the dynamic program prices so many patterns at most.
+EACH = 8
 #: Documents are ranked within so many parts at least, and one for each PART_ROWS documents.
 PARTS, PART_ROWS = 256, 200_000
 #: With an order, a part is a stretch of so many places.
 PART_PLACES = 1 << 14
 
-CUT = ("doc_id", "crc", "start", "length", "ids_crc32")
-TOKENS = "doc_id long, place long, n long, crc long, chunk_crcs array<long>, tail_crc long"
+CUT = ("row", "start", "length", "ids_crc32")
+TOKENS = "doc_id long, row long, place long, n long, crc long, chunk_crcs array<long>, tail_crc long"
 
 
 #: Stands for the end of a word; no UTF-8 text has it.
@@ -111,6 +113,12 @@ class Ids(dict):
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of sizes (ascending) within the capacity: its value and how often it has each."""
+    best, last = _values(prices, sizes, capacity)
+    return float(best[capacity]), _filled(last, sizes, capacity)
+
+
+def _values(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For each room up to the capacity the greatest value, and the size that reaches it (-1: one less room does)."""
     best, last = np.zeros(capacity + 1), [-1] * (capacity + 1)
     # best[room - sizes] for growing rooms is one gather from a shifted copy of sizes
     fits, back = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist(), -sizes
@@ -123,14 +131,18 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
             if (v := float(value[k])) > top + 1e-12:
                 top, last[room] = v, k
         best[room] = top
-    times, room = np.zeros(len(sizes), np.int64), capacity
+    return best, last
+
+
+def _filled(last: list[int], sizes: np.ndarray, room: int) -> np.ndarray:
+    times = np.zeros(len(sizes), np.int64)
     while room > 0:
         if last[room] < 0:
             room -= 1
         else:
             times[last[room]] += 1
             room -= int(sizes[last[room]])
-    return float(best[capacity]), times
+    return times
 
 
 def _fullest(sizes: list[int], alive: list[int], room: int) -> list[int]:
@@ -173,11 +185,12 @@ class _Master:
 
     def enter(self, times: np.ndarray) -> None:
         d = self.direction(times)
-        ratio = np.full(len(d), np.inf)
-        up = d > 1e-9
-        ratio[up] = self.use[up] / d[up]
-        out = int(ratio.argmin())
-        step = ratio[out]
+        up = np.flatnonzero(d > 1e-7)
+        # of the columns that leave about first, the one with the largest pivot
+        most = ((self.use[up] + 1e-9 * self.counts.max()) / d[up]).min()
+        near = up[self.use[up] <= most * d[up]]
+        out = int(near[d[near].argmax()])
+        step = self.use[out] / d[out]
         self.use = np.maximum(self.use - step * d, 0)
         self.use[out] = step
         self.put(out, times, d)
@@ -190,15 +203,17 @@ class _Master:
         self.use = np.maximum(self.use, 0)
 
 
-def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 1500) -> tuple[list[tuple[float, np.ndarray]], float]:
+def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-9, rounds: int = 4000) -> tuple[list[tuple[float, np.ndarray]], float]:
     """The linear program's (how often, times of each size), by column generation, and a proven lower bound of their sum.
 
     The first basis comes from the knapsack at the prices that lengths have as
     material: the longest length left is filled up with others, and the pattern is
     used until one of its lengths is out. Then simplex prices, drawn to those of the
-    best bound so far, price new patterns by dynamic programming. It ends when the
-    sum is within ``gap`` of the bound, or after ``rounds`` patterns: what is not
-    packed well then is laid end to end like all that rounding leaves.
+    best bound so far, price new patterns by dynamic programming, for each length the
+    best pattern that has it. Lengths whose price is negative (the basis has
+    too many of them) are left out of a new pattern. It ends when the sum is within ``gap``
+    of the bound, or after ``rounds`` patterns: what is not packed well then is laid
+    end to end like all that rounding leaves.
     """
     m = len(sizes)
     if not m:
@@ -218,22 +233,29 @@ def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float =
         alive.remove(out)
     centre = sizes / capacity
     bound = float((counts * centre).sum())
-    for turn in range(rounds):
-        prices, pull = np.maximum(master.inverse.sum(0), 0), 0.8
-        while True:
-            asked = pull * centre + (1 - pull) * prices
-            value, times = knapsack(asked, sizes, capacity)
-            if (low := float((counts * asked).sum()) / max(value, 1e-9)) > bound:
-                bound, centre = low, asked / value
-            worth = float((prices * times).sum())
-            if worth > 1 + 1e-9 or not pull:
+    added = 0
+    while added < rounds:
+        prices, pull, before = master.inverse.sum(0), 0.95, added
+        while added == before:
+            asked = pull * centre + (1 - pull) * np.maximum(prices, 0)
+            best, last = _values(asked, sizes, capacity)
+            if (low := float((counts * asked).sum()) / max(float(best[capacity]), 1e-9)) > bound:
+                bound, centre = low, asked / best[capacity]
+            # for each length, the best pattern that has it
+            for k in np.argsort(-(asked + best[capacity - sizes]), kind="stable")[:EACH]:
+                times = _filled(last, sizes, capacity - int(sizes[k]))
+                times[k] += 1
+                times[prices < 0] = 0
+                if float((prices * times).sum()) > 1 + 1e-9:
+                    master.enter(times)
+                    prices, added = master.inverse.sum(0), added + 1
+                    if added % 100 == 0:
+                        master.renew()
+            if not pull:
                 break
             pull = 0.0 if pull < 0.3 else pull / 2
-        if master.use.sum() <= bound * (1 + gap) or worth <= 1 + 1e-9:
+        if added == before or master.use.sum() <= bound * (1 + gap):
             break
-        master.enter(times)
-        if turn % 100 == 99:
-            master.renew()
     master.renew()
     return [(float(master.use[p]), master.columns[:, p].astype(np.int64)) for p in range(m) if master.use[p] > 1e-9], bound
 
@@ -307,11 +329,11 @@ def _tokenised(model, end: int, size: int):
                 full = len(raw) // width
                 rows.append((len(raw) // 4, zlib.crc32(raw), [zlib.crc32(raw[k * width : (k + 1) * width]) for k in range(full)], zlib.crc32(raw[full * width :])))
             n, crc, chunks, tail = zip(*rows, strict=True) if rows else ((),) * 4
-            return {"doc_id": batch.column("doc_id"), "place": batch.column("place"), "n": n, "crc": crc, "chunk_crcs": chunks, "tail_crc": tail}
+            return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "place": batch.column("place"), "n": n, "crc": crc, "chunk_crcs": chunks, "tail_crc": tail}
 
         return work
 
-    return by_batch(build, {"doc_id": pa.int64(), "place": pa.int64(), "n": pa.int64(), "crc": pa.int64(), "chunk_crcs": pa.list_(pa.int64()), "tail_crc": pa.int64()})
+    return by_batch(build, {"doc_id": pa.int64(), "row": pa.int64(), "place": pa.int64(), "n": pa.int64(), "crc": pa.int64(), "chunk_crcs": pa.list_(pa.int64()), "tail_crc": pa.int64()})
 
 
 def _cut(model, end: int):
@@ -320,10 +342,9 @@ def _cut(model, end: int):
 
         def work(batch: pa.RecordBatch) -> dict:
             rows = []
-            for doc, text, crc, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "crc", "cuts")), strict=True):
+            for row, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "cuts")), strict=True):
                 raw = ids.of(text)
-                if zlib.crc32(raw) == crc:
-                    rows += [(doc, crc, c["start"], c["length"], zlib.crc32(raw[4 * c["start"] : 4 * (c["start"] + c["length"])])) for c in cuts]
+                rows += [(row, c["start"], c["length"], zlib.crc32(raw[4 * c["start"] : 4 * (c["start"] + c["length"])])) for c in cuts]
             return dict(zip(CUT, zip(*rows, strict=True) if rows else ((),) * len(CUT), strict=True))
 
         return work
@@ -350,7 +371,8 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = 2,
 def _packed(docs: DataFrame, tokenizer_path: str, size: int, end: int, order: str | None) -> DataFrame:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # a vocabulary: its size doesn't depend on the data
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(order) if order else F.lit(0)).cast("long").alias("place"))
+    # equal rows share a number, rows without an id are told apart by their texts
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row"), (F.col(order) if order else F.lit(0)).cast("long").alias("place"))
     tokens = Stored(base.mapInArrow(_tokenised(model, end, size), TOKENS), "tokens").df
     parts = max(PARTS, tokens.count() // PART_ROWS)
     rows = tokens.withColumns({"full": F.size("chunk_crcs").cast("long"), "tail": F.col("n") - F.size("chunk_crcs") * size, "part": F.expr(f"place div {PART_PLACES}") if order else F.pmod(F.xxhash64("doc_id", "crc"), F.lit(parts)).cast("int")})
@@ -366,7 +388,7 @@ def _packed(docs: DataFrame, tokenizer_path: str, size: int, end: int, order: st
     chunks = chunks.select("doc_id", "place", (F.col("k") * size).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     # tails by length: as many rows as there are lengths
-    tails = rows.where("tail > 0").select("doc_id", "place", "n", "crc", "tail", "tail_crc", "part", F.when(F.col("tail") >= SHORT, F.ceil(F.col("tail") / UNIT)).otherwise(0).cast("int").alias("bin"))
+    tails = rows.where("tail > 0").select("doc_id", "row", "place", "n", "crc", "tail", "tail_crc", "part", F.when(F.col("tail") >= SHORT, F.ceil(F.col("tail") / UNIT)).otherwise(0).cast("int").alias("bin"))
     sums = tails.groupBy("bin").agg(F.count("*").alias("c")).collect()
     done = rows.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     table, sequences = dealt({r["bin"]: r["c"] for r in sums if r["bin"]}, size)
@@ -382,7 +404,7 @@ def _packed(docs: DataFrame, tokenizer_path: str, size: int, end: int, order: st
         at = F.expr("get(filter(ranges, r -> r.low <= rank and rank < r.high), 0)")
         ranked = ranked.join(F.broadcast(plan), "bin", "left").withColumn("at", at)
         ranked = ranked.withColumns({"seq": F.expr("at.first + (rank - at.low) div at.copies"), "slot": F.expr("at.slot + (rank - at.low) % at.copies")})
-    placed = Stored(ranked.select("doc_id", "place", "n", "crc", "tail", "tail_crc", "part", "seq", "slot"), "placed").df
+    placed = Stored(ranked.select("doc_id", "row", "place", "n", "crc", "tail", "tail_crc", "part", "seq", "slot"), "placed").df
 
     in_pattern = placed.where("seq is not null")
     along = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -402,14 +424,13 @@ def _packed(docs: DataFrame, tokenizer_path: str, size: int, end: int, order: st
     pieces = laid.select("*", F.posexplode("cuts").alias("i", "pos")).withColumn("length", F.expr("coalesce(get(cuts, i + 1), from + tail) - pos"))
     in_last = F.expr(f"filter(marks, c -> c <= pos and pos >= {last}L)")
     pieces = pieces.withColumns({"start": F.expr("n - tail + pos - from"), "sequence_id": F.when(F.col("pos") < last, F.expr(f"pos div {size}")).otherwise(F.lit(last // size) + F.size(in_last) - 1) + done + sequences, "offset": F.when(F.col("pos") < last, F.expr(f"pos % {size}")).otherwise(F.col("pos") - F.coalesce(F.array_max(in_last), F.lit(0)))})
-    pieces = Stored(pieces.select("doc_id", "place", "start", "length", F.when(F.size("cuts") == 1, F.col("tail_crc")).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset", "crc"), "pieces").df
+    pieces = Stored(pieces.select("doc_id", "row", "place", "start", "length", F.when(F.size("cuts") == 1, F.col("tail_crc")).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset"), "pieces").df
     cut = pieces.where("ids_crc32 is null")
-    wanted = Stored(cut.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("start", "length")).alias("cuts")), "cuts").df
-    texts = base.join(wanted.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "crc", "cuts")
-    crcs = texts.mapInArrow(_cut(model, end), "doc_id long, crc long, start long, length long, ids_crc32 long").distinct().toDF("_d", "_c", "_s", "_l", "found")
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("crc") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("length") == F.col("_l"))
+    wanted = Stored(cut.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("cuts")), "cuts").df
+    texts = base.join(wanted, "row").select("row", "text", "cuts")
+    crcs = texts.mapInArrow(_cut(model, end), "row long, start long, length long, ids_crc32 long").distinct()
     names = ["doc_id", *(["place"] if order else []), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    cut = cut.drop("ids_crc32").join(crcs, on).withColumnRenamed("found", "ids_crc32")
+    cut = cut.drop("ids_crc32").join(crcs, ["row", "start", "length"])
     release(spark)
     out = chunks.select(names).unionByName(whole.select(names)).unionByName(pieces.where("ids_crc32 is not null").select(names)).unionByName(cut.select(names))
     return _numbered(Stored(out, "packed").df) if order else out

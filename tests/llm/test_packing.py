@@ -81,6 +81,22 @@ def test_sequences_follow_the_order(spark, monkeypatch):
     assert np.mean(apart) < 60  # of 600 places; about 200 where documents are dealt by hash
 
 
+def test_priced_patterns_reach_the_optimum(monkeypatch):
+    """Few lengths; filling up in turn doesn't pack all of these tables best."""
+    entered = []
+    enter = packing._Master.enter
+    monkeypatch.setattr(packing._Master, "enter", lambda self, times: (entered.append(times), enter(self, times)))
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        sizes = np.sort(rng.choice(np.arange(8, 513), 40, replace=False))
+        counts = rng.integers(1, 10**7, 40).astype(float)
+        found, bound = packing.patterns(sizes, counts, 512)
+        assert all(times @ sizes <= 512 for _, times in found)
+        assert sum(use for use, _ in found) == pytest.approx(bound, rel=1e-8)
+        assert np.allclose(sum(use * times for use, times in found), counts, rtol=1e-6)
+    assert len(entered) > 10
+
+
 def test_linear_program_meets_the_bound():
     sizes, counts = np.array([3, 5, 7, 11]), np.array([40.0, 25, 30, 17])
     found, bound = packing.patterns(sizes, counts, 20, gap=1e-9)
