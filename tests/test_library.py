@@ -120,6 +120,14 @@ def test_bands_lose_no_near_hash(spark):
         dedup.bands(F.col("h"), 12)
 
 
+def test_keys_of_near_hashes_are_not_broadcast(spark):
+    rows = spark.range(400).select("id", F.xxhash64("id").alias("phash"), F.xxhash64(F.col("id") + 1000).alias("dhash"))
+    links = dedup.class_links(dedup.classes(rows))
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_perceptual_groups_with_copies_equal_the_greedy_walk(spark):
     rng = random.Random(6)
     pick = lambda: rng.choice([0, 0b1111, 0b11111111, 0x7FFF, -1, None, 1 << 40]) if rng.random() < 0.8 else rng.getrandbits(62)
