@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Name of an order -> its columns.
+#: Name of an order -> how its column goes, and that column; ties go by rising id.
 ORDERS = {
-    "paths": [F.asc_nulls_first, ("path", "id")],
-    "date_taken": [F.asc_nulls_first, ("date_taken", "id")],
-    "name": [F.asc_nulls_first, ("name", "id")],
-    "name_desc": [F.desc_nulls_last, ("name", "id")],
-    "recent": [F.desc_nulls_last, ("last_used", "id")],
-    "newest": [F.desc_nulls_last, ("created_at", "id")],
-    "oldest": [F.asc_nulls_first, ("created_at", "id")],
-    "imports": [F.desc_nulls_last, ("imported_at", "id")],
-    "points": [F.asc_nulls_first, ("timestamp_epoch", "id")],
+    "paths": (F.asc_nulls_first, "path"),
+    "date_taken": (F.asc_nulls_first, "date_taken"),
+    "name": (F.asc_nulls_first, "name"),
+    "name_desc": (F.desc_nulls_last, "name"),
+    "recent": (F.desc_nulls_last, "last_used"),
+    "newest": (F.desc_nulls_last, "created_at"),
+    "oldest": (F.asc_nulls_first, "created_at"),
+    "imports": (F.desc_nulls_last, "imported_at"),
+    "points": (F.asc_nulls_first, "timestamp_epoch"),
 }
 
 
 def ordered(rows: DataFrame, order: str, limit: int | None = None) -> DataFrame:
     """``rows`` in one of ``ORDERS``; with ``limit`` the first of them."""
-    side, columns = ORDERS[order]
-    out = rows.orderBy(*(side(c) for c in columns))
+    side, column = ORDERS[order]
+    out = rows.orderBy(side(column), F.asc_nulls_first("id"))
     return out if limit is None else out.limit(limit)
 
 

@@ -144,6 +144,10 @@ def test_orders(spark):
     rows = spark.createDataFrame([(1, None), (2, "b"), (3, "a")], "id long, name string")
     assert [r.id for r in listings.ordered(rows, "name").collect()] == [1, 3, 2]
     assert [r.id for r in listings.ordered(rows, "name_desc").collect()] == [2, 3, 1]
+    same = spark.createDataFrame([(3, "b"), (1, "b"), (2, "b"), (4, "c"), (0, None)], "id long, name string")
+    assert [r.id for r in listings.ordered(same, "name_desc", 2).collect()] == [4, 1]
+    recent = same.select("id", F.length("name").alias("last_used"))
+    assert [r.id for r in listings.ordered(recent, "recent").collect()] == [1, 2, 3, 4, 0]
     places = spark.createDataFrame([(3, 1), (1, 2)], "id long, place int")
     assert [r.id for r in listings.custom(rows, places).collect()] == [3, 1, 2]
 
