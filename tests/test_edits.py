@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs
 from shutterlake.operators import edits, inference, listings, ranking, scratch, temporal
+from shutterlake.plans import edits as plans
 from shutterlake.sources import encode, images, readers, sinks
 from shutterlake.streaming.ingest import Progress, stream_into_library
 
@@ -152,6 +153,16 @@ def test_orders(spark):
     assert [r.id for r in listings.custom(rows, places).collect()] == [3, 1, 2]
 
 
+def test_prompts_meet_only_photos_of_near_numbers(spark):
+    rows = [(f"i{k}", k, "f", f"{k}.jpg", "/r10", k in (51, 59, 60, 110, 111, 119, 120), None) for k in range(50, 130)]
+    photos = spark.createDataFrame(rows, "id string, ord long, folder string, filename string, scan_root string, has_gps boolean, location_name string")
+    out = plans.suggestion_prompt(photos)
+    got = {r.ord: re.findall(r"  - (\d+)\.jpg", r.prompt) for r in out.collect()}
+    assert got == {50: ["51", "59", "60", "110"], 100: []}
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and joins[0].count(" = ") == 2  # root and stretch
+
+
 def test_folders_of_one_machine_are_refused_on_a_cluster(spark):
     class Conf:
         def get(self, key, default=None):
