@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -128,8 +128,10 @@ def tiff_block(content: bytes) -> bytes:
 _META = "id string, make string, model string, lens string, iso string, description string, original string, digitized string, date string, fnumber array<bigint>, exposure array<bigint>, focal array<bigint>, lat array<array<bigint>>, lat_ref string, lon array<array<bigint>>, lon_ref string"
 
 
-def metadata(files: DataFrame) -> DataFrame:
-    """id and the raw tags of each file's ``content``; the rest is left to column expressions."""
+def metadata(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """id, the raw tags of each file's ``content`` and the columns ``keep`` as they are; the rest is left to column expressions."""
+    keep = list(keep)
+    schema = ", ".join([_META, *(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _META.split(", ")]
@@ -145,13 +147,14 @@ def metadata(files: DataFrame) -> DataFrame:
                 three = lambda k: [list(p) for p in tags[k]] if isinstance(tags.get(k), list) and len(tags[k]) == 3 else None  # noqa: B023, E731
                 iso = tags.get("iso")
                 rows.append((key, text("make"), text("model"), text("lens"), str(iso[0]) if iso else None, text("description"), text("original"), text("digitized"), text("date"), one("fnumber"), one("exposure"), one("focal"), three("lat"), text("lat_ref"), three("lon"), text("lon_ref")))
-            yield pd.DataFrame(rows, columns=names).astype(object)
+            out = pd.DataFrame(rows, columns=names, index=batch.index).astype(object)
+            yield out.assign(**{c: batch[c] for c in keep})
 
-    return files.select("id", "content").mapInPandas(run, _META)
+    return files.select("id", "content", *keep).mapInPandas(run, schema)
 
 
-def described(tags: DataFrame) -> DataFrame:
-    """Photo columns from raw tags."""
+def described(tags: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Photo columns from raw tags, and the columns ``keep``."""
     ratio = lambda c, k: exprs.rational(F.col(c)[k][0], F.col(c)[k][1])
     degrees = lambda c: exprs.dms_to_decimal(ratio(c, 0), ratio(c, 1), ratio(c, 2), F.col(f"{c}_ref"))
     number = lambda c: exprs.rational(F.col(c)[0], F.col(c)[1])
@@ -170,4 +173,5 @@ def described(tags: DataFrame) -> DataFrame:
         exprs.shutter_text(F.col("exposure")[0].cast("double"), F.col("exposure")[1].cast("double")).alias("shutter"),
         "iso",
         F.when(number("focal") != 0, exprs.focal_text(number("focal"))).alias("focal_length"),
+        *keep,
     )

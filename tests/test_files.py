@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_library import tiff
 
+from shutterlake.plans import edits as plans
 from shutterlake.sources import jpeg, readers, sinks
 
 
@@ -78,6 +79,16 @@ def test_written_rows_keep_columns_and_report(spark):
     assert jpeg.written(sinks.jpeg_payload(photos.limit(0))).collect() == []
 
 
+def test_files_are_written_once_and_read_in_the_same_pass(spark):
+    zero = datetime(2024, 5, 6, 7, 8, 9)
+    rows = [(k, "" if k == 1 else f"Place {k}", 1.5 if k % 2 else None, 2.5 if k % 2 else None, zero) for k in (1, 5, 6)]
+    out = plans.exif_written(spark.createDataFrame(rows, "ord long, location_name string, lat double, lon double, date_taken timestamp_ntz"))
+    day = "2024-05-06 07:08:09"
+    assert sorted(map(tuple, out.collect())) == [(1, True, None, "CAM0001", day, 1.5, 2.5), (5, False, None, "CAM0005", None, None, None), (6, True, "Place 6", "CAM0006", day, None, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_tags_in_files(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(file_with(tiff()))
     (tmp_path / "b.jpg").write_bytes(b"no picture")
