@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Stored:
     """A table written to the shared folder; ``df`` reads it and ``drop`` removes it."""
 
@@ -46,9 +52,7 @@ class Stored:
     def drop(self) -> None:
         if self in _live:
             _live.remove(self)
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(self.spark, self.path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import exprs, sql
 from shutterlake.operators import library, listings
-from shutterlake.operators.scratch import shared_dir
+from shutterlake.operators.scratch import removed, shared_dir
 from shutterlake.sources import encode, images, jpeg, readers, roots, sinks, takeout
 
 from . import fixtures as fx
@@ -23,6 +24,11 @@ def _folder(df: DataFrame, what: str) -> str:
     return f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
 
 
+def _parts(files: float) -> int:
+    """Tasks for so many files: each takes about 500, however few parts the table has that they come from."""
+    return max(1, math.ceil(files / 500))
+
+
 def _documents(lines: DataFrame, head: str, between: str, tail: str, what: str) -> str:
     """A folder with a file for each part of ``lines`` (line): head, lines with a text between them, tail."""
 
@@ -76,24 +82,47 @@ PICTURES = "(select p_partkey as n, concat('d', cast(p_partkey % 7 as string), c
 _HEX = "ffd8ffe1002a45786966000049492a0008000000010010010200080000001a00000000000000"
 
 
+#: Bytes of files that lie on disk at once.
+TREE_BYTES = 1 << 30
+
+
 @query(f"""with c as (select *, 'CAM' || lpad(cast(n % 50 as varchar), 4, '0') as camera, unhex('{_HEX}') || ('CAM' || lpad(cast(n % 50 as varchar), 4, '0'))::blob || unhex('00ffda0002ffd9') || repeat('x', cast(n % 3 * 40000 as int))::blob as content from {PICTURES} p
 where n % 4 <> 2 and n % 11 <> 0)
 select id, split_part(id, '/', 2) as filename, split_part(id, '/', 1) as folder, cast(round_even(octet_length(content) / 1024.0, 0) as bigint) as size_kb, md5(content[1:65536]) as file_hash, camera from c""", PICTURES[1:-1])
 def photo_scan(pictures):
-    """A tree of files in several folders, scanned: other suffixes and the folder for duplicates left out; sizes, hashes and cameras from the bytes."""
-    root = _folder(pictures, "tree")
+    """Trees of files in several folders, scanned: other suffixes and the folder for duplicates left out; sizes, hashes and cameras from the bytes.
+
+    A tree holds about ``TREE_BYTES``; it goes before the next one is written, so disk doesn't grow with the table.
+    """
+    spark = pictures.sparkSession
     body = F.concat(jpeg.sample_jpeg(F.format_string("CAM%04d", F.col("n") % 50)), F.expr("cast(repeat('x', cast(n % 3 * 40000 as int)) as binary)"))
-    files = pictures.select(F.concat(F.lit(f"{root}/"), "id").alias("path"), body.alias("content"))
+    count, size = pictures.agg(F.count("*"), F.coalesce(F.sum(F.col("n") % 3 * 40_000), F.lit(0))).first()
+    schema = "id string, filename string, folder string, size_kb long, file_hash string, camera string"
+    if not count:
+        return spark.createDataFrame([], schema)
+    trees = max(1, math.ceil(size / TREE_BYTES))
+    parts = _parts(count / trees)
+    at = _folder(pictures, "scanned")
 
     def write(rows) -> None:
         for row in rows:
-            store, at = sinks.opened(row["path"])
-            store.create_dir(at[: at.rfind("/")])
+            store, path = sinks.opened(row["path"])
+            store.create_dir(path[: path.rfind("/")])
             sinks.put(row["path"], bytes(row["content"]))
 
-    files.foreachPartition(write)
-    found = readers.photo_files(pictures.sparkSession, root)
-    return found.drop("path", "file_mtime").join(readers.described(readers.metadata(found)).select("id", "camera"), "id").drop("content")
+    for k in range(trees):
+        root = _folder(pictures, "tree")
+        # dealt out before bodies are made
+        some = pictures.where(F.pmod(F.xxhash64("n"), F.lit(trees)) == k).select("n", "id").repartition(parts, "n")
+        try:
+            some.select(F.concat(F.lit(f"{root}/"), "id").alias("path"), body.alias("content")).foreachPartition(write)
+            found = readers.photo_files(spark, root).coalesce(parts)
+            kept = ["filename", "folder", "size_kb", "file_hash"]
+            rows = readers.described(readers.metadata(found, kept), kept).select("id", *kept, "camera")
+            rows.write.mode("append").parquet(at)
+        finally:
+            removed(spark, root)
+    return spark.read.schema(schema).parquet(at)
 
 
 TAGS = "(select l_orderkey, l_linenumber, l_orderkey % 5 as a, l_linenumber % 3 as b, l_shipdate from lineitem)"
