@@ -198,7 +198,8 @@ def pictures_read_back(squares):
             store.create_dir(path[: path.rfind("/")])
             sinks.put(at, encode.jpeg(np.full((int(row["height"]), int(row["width"]), 3), int(row["level"]), np.uint8), 100))
 
-    squares.foreachPartition(write)
+    parts = _parts(squares.count())
+    squares.repartition(parts, "number").foreachPartition(write)
     number = F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long")
-    found = images.pictures(squares.sparkSession, root).mapInPandas(images.levels, "path string, height long, width long, darkest long, lightest long")
+    found = images.pictures(squares.sparkSession, root).coalesce(parts).mapInPandas(images.levels, "path string, height long, width long, darkest long, lightest long")
     return found.select(number.alias("number"), "width", "height", "darkest", "lightest")

@@ -28,3 +28,12 @@ def test_trees_go_as_the_scan_goes_on(spark, monkeypatch):
 def test_no_pictures_to_scan(spark):
     rows = spark.createDataFrame([], "n long, id string, name string")
     assert files.photo_scan(rows).collect() == []
+
+
+def test_pictures_of_one_part_are_written_in_several_tasks(spark, monkeypatch):
+    assert files._parts(60_000) == 120
+    monkeypatch.setattr(files, "_parts", lambda n: 3)
+    rows = spark.range(1, 41).select(F.col("id").alias("number"), (F.col("id") * 5).alias("level"), F.lit(9).alias("width"), F.lit(4).alias("height")).coalesce(1)
+    out = files.pictures_read_back(rows)
+    assert sorted(map(tuple, out.collect())) == [(n, 9, 4, n * 5, n * 5) for n in range(1, 41)]
+    assert out.rdd.getNumPartitions() == 3
