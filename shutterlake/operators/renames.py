@@ -22,6 +22,11 @@ from .scratch import Stored, scratch
 NOT_FOUND, INVALID, TAKEN = "not found", "invalid name", "name taken"
 
 
+def _met(rows: DataFrame, other: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join that is never broadcast: paths and numbers are many times as large as the files of stored tables, by which Spark would decide."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _full(root: Column, key: Column) -> Column:
     return F.concat(root, F.lit("/"), key)
 
@@ -55,7 +60,7 @@ def _followed(nodes: DataFrame) -> DataFrame:
     while True:
         at = now.df.select(F.col("k").alias("follow"), F.col("ok").alias("_ok"), F.col("follow").alias("_next"))
         moving = F.col("ok").isNull() & (F.col("_ok").isNotNull() | F.col("_next").isNotNull())
-        both = now.df.join(at, "follow", "left")
+        both = _met(now.df, at, "follow", "left")
         step = Stored(both.select("k", F.coalesce("ok", "_ok").alias("ok"), F.when(F.coalesce("ok", "_ok").isNull(), F.coalesce("_next", "follow")).alias("follow"), moving.alias("moved")), "follow")
         now.drop()
         now = step
@@ -68,7 +73,7 @@ def _decided(moves: DataFrame, held: DataFrame) -> DataFrame:
     now = Stored(moves.select("k", "s", "t", F.when(~F.col("able"), False).alias("ok")), "moves")
     while not now.df.where("ok is null").limit(1).isEmpty():
         both = F.array(F.struct(F.col("s").alias("p"), F.lit(True).alias("source")), F.struct(F.col("t").alias("p"), F.lit(False).alias("source")))
-        touches = now.df.where("ok is null or ok").select("k", "ok", F.inline(both)).join(held.withColumn("held", F.lit(True)), "p", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        touches = _met(now.df.where("ok is null or ok").select("k", "ok", F.inline(both)), held.withColumn("held", F.lit(True)), "p", "left").withColumn("held", F.coalesce("held", F.lit(False)))
         known = _states(touches).where("ok is null")
         of = lambda c, source: F.max(F.when(F.col("source") == source, F.col(c)))
         one = known.groupBy("k").agg(*(of(c, source).alias(f"{name}_{c}") for c in ("state", "base", "follow") for name, source in (("s", True), ("t", False))))
@@ -76,7 +81,7 @@ def _decided(moves: DataFrame, held: DataFrame) -> DataFrame:
         # a held name is free, and a free one held, exactly if the item that it hangs on works
         follow = F.when(F.col("s_state") & F.col("t_base"), F.col("t_follow")).when(~F.col("t_state") & ~F.col("s_base"), F.col("s_follow"))
         got = _followed(one.select("k", ok.alias("ok"), F.when(ok.isNull(), follow).alias("follow")))
-        after = Stored(now.df.join(got.withColumnRenamed("ok", "_ok"), "k", "left").select("k", "s", "t", F.coalesce("ok", "_ok").alias("ok")), "moves")
+        after = Stored(_met(now.df, got.withColumnRenamed("ok", "_ok"), "k", "left").select("k", "s", "t", F.coalesce("ok", "_ok").alias("ok")), "moves")
         now.drop()
         now = after
     return now.df
@@ -91,13 +96,13 @@ def _origins(done: DataFrame) -> DataFrame:
     later = Stored(now.df.where("prev is not null").select(F.col("prev").alias("k")), "later").df
     while True:
         up = now.df.select(F.col("k").alias("prev"), F.col("prev").alias("_up"))
-        step = Stored(now.df.join(up, "prev", "left").select("k", F.coalesce("_up", "prev").alias("prev"), F.col("_up").isNotNull().alias("moved")), "origins")
+        step = Stored(_met(now.df, up, "prev", "left").select("k", F.coalesce("_up", "prev").alias("prev"), F.col("_up").isNotNull().alias("moved")), "origins")
         now.drop()
         now = step
         if now.df.where("moved").limit(1).isEmpty():
             break
-    ends = done.join(now.df.select("k", F.coalesce("prev", "k").alias("first")), "k")
-    return ends.join(later.withColumn("_later", F.lit(True)), "k", "left").withColumn("last", F.col("_later").isNull()).drop("_later")
+    ends = _met(done, now.df.select("k", F.coalesce("prev", "k").alias("first")), "k")
+    return _met(ends, later.withColumn("_later", F.lit(True)), "k", "left").withColumn("last", F.col("_later").isNull()).drop("_later")
 
 
 class Renamed:
@@ -124,12 +129,12 @@ def renamed(photos: DataFrame, items: DataFrame, taken: DataFrame | None = None,
         asked = Stored(_asked(items), "asked").df
         files = photos.select(_full(F.col("scan_root"), F.col("id")).alias("p"))
         touched = asked.select(F.col("s").alias("p")).union(asked.where("kind = 'move'").select("t")).distinct()
-        own = Stored(touched.join(files, "p", "left_semi"), "own").df
-        others = touched.join(taken.select(F.col("path").alias("p")), "p", "left_semi").join(own, "p", "left_anti") if taken is not None else own.limit(0)
+        own = Stored(_met(touched, files, "p", "left_semi"), "own").df
+        others = _met(_met(touched, taken.select(F.col("path").alias("p")), "p", "left_semi"), own, "p", "left_anti") if taken is not None else own.limit(0)
         others = Stored(others, "others").df
         # what isn't a photo never moves
         fixed = others.select(F.col("p").alias("s"), F.lit(False).alias("able"))
-        moves = asked.where("kind = 'move'").join(fixed, "s", "left").select("k", "s", "t", F.coalesce("able", F.lit(True)).alias("able"))
+        moves = _met(asked.where("kind = 'move'"), fixed, "s", "left").select("k", "s", "t", F.coalesce("able", F.lit(True)).alias("able"))
         held = own.union(others)
         moves = _decided(moves, held)
         done = Stored(moves.where("ok").select("k", "s", "t"), "done")
@@ -137,21 +142,21 @@ def renamed(photos: DataFrame, items: DataFrame, taken: DataFrame | None = None,
 
         # what held each item's path at its turn
         touches = done.df.select(F.col("s").alias("p"), "k", F.lit(True).alias("source"), F.lit(True).alias("ok")).union(done.df.select("t", "k", F.lit(False), F.lit(True)))
-        readers = asked.join(done.df.select("k"), "k", "left_anti").select(F.col("s").alias("p"), "k", F.lit(None).cast("boolean").alias("source"), F.lit(None).cast("boolean").alias("ok"))
-        state = _states(touches.union(readers).join(own.withColumn("held", F.lit(True)), "p", "left").withColumn("held", F.coalesce("held", F.lit(False)))).where("source is null").select("k", "state")
-        found = asked.join(state, "k", "left").join(done.df.select("k", F.lit(True).alias("did")), "k", "left")
+        readers = _met(asked, done.df.select("k"), "k", "left_anti").select(F.col("s").alias("p"), "k", F.lit(None).cast("boolean").alias("source"), F.lit(None).cast("boolean").alias("ok"))
+        state = _states(_met(touches.union(readers), own.withColumn("held", F.lit(True)), "p", "left").withColumn("held", F.coalesce("held", F.lit(False)))).where("source is null").select("k", "state")
+        found = _met(_met(asked, state, "k", "left"), done.df.select("k", F.lit(True).alias("did")), "k", "left")
         did, there = F.coalesce("did", F.lit(False)), F.coalesce("state", F.lit(False))
         error = F.when(did, None).when(~there, NOT_FOUND).when(F.col("kind") == "invalid", INVALID).when(F.col("kind") == "move", TAKEN)
         found = found.select(F.col("k").alias("ord"), "s", "t", error.alias("error"), (~did & there & (F.col("kind") == "skip")).alias("skipped"), did.alias("did"))
-        results = Stored(items.select(F.col("ord").cast("long").alias("ord"), "scan_root", "id").join(found, "ord").select("ord", "scan_root", "id", F.col("error").isNull().alias("ok"), "skipped", "error", F.when(F.col("did"), F.expr("substring(t, length(scan_root) + 2)")).alias("new_id")), "results")
+        results = Stored(_met(items.select(F.col("ord").cast("long").alias("ord"), "scan_root", "id"), found, "ord").select("ord", "scan_root", "id", F.col("error").isNull().alias("ok"), "skipped", "error", F.when(F.col("did"), F.expr("substring(t, length(scan_root) + 2)")).alias("new_id")), "results")
 
         firsts = origins.df.where("k = first").select("first", F.col("s").alias("old_path"))
-        all_ends = origins.df.where("last").select("first", F.col("t").alias("new_path")).join(firsts, "first")
+        all_ends = _met(origins.df.where("last").select("first", F.col("t").alias("new_path")), firsts, "first")
         every = Stored(all_ends.select("old_path", F.col("new_path").alias("_to")), "every")
         ends = all_ends.where("old_path <> new_path")
         if sidecars is not None:
             beside = lambda c: F.concat(exprs.stem(F.col(c)), F.lit(".xmp"))
-            leaves = ends.join(sidecars.select(F.col("path").alias("sidecar_from")), beside("old_path") == F.col("sidecar_from"), "left").withColumn("_to", beside("new_path"))
+            leaves = _met(ends, sidecars.select(F.col("path").alias("sidecar_from")), beside("old_path") == F.col("sidecar_from"), "left").withColumn("_to", beside("new_path"))
             rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("first")) == 1
             leaves = leaves.withColumn("sidecar_from", F.when(rank("sidecar_from"), F.col("sidecar_from"))).withColumn("_to", F.when(F.col("sidecar_from").isNotNull(), F.col("_to")))
             leaves = leaves.withColumn("sidecar_to", F.when(F.col("_to").isNotNull() & rank("_to") & (F.col("_to") != F.col("sidecar_from")), F.col("_to")))
@@ -159,7 +164,7 @@ def renamed(photos: DataFrame, items: DataFrame, taken: DataFrame | None = None,
         else:
             ends = ends.withColumns({"sidecar_from": F.lit(None).cast("string"), "sidecar_to": F.lit(None).cast("string")})
         ends = Stored(ends.drop("first"), "ends")
-        moved = photos.join(every.df, _full(F.col("scan_root"), F.col("id")) == F.col("old_path"), "left")
+        moved = _met(photos, every.df, _full(F.col("scan_root"), F.col("id")) == F.col("old_path"), "left")
         hit, key = F.col("_to").isNotNull(), F.expr("substring(_to, length(scan_root) + 2)")
         values = {"id": F.when(hit, key).otherwise(F.col("id")), "filename": F.when(hit, F.regexp_extract("_to", "([^/]+)$", 1)).otherwise(F.col("filename"))}
         values |= {"original_filename": F.when(hit, F.coalesce("original_filename", "filename")).otherwise(F.col("original_filename"))}

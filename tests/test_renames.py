@@ -85,3 +85,11 @@ def test_no_items_and_other_columns(spark):
     photos = spark.createDataFrame([("/r", "a.jpg", "a.jpg", None, "/r/a.jpg", 1)], PHOTO).withColumn("k", F.lit(7))
     got = renames.renamed(photos, spark.createDataFrame([], ITEM))
     assert got.photos.collect()[0].k == 7 and got.results.count() == got.log.count() == got.moves.count() == 0
+
+
+def test_no_table_of_items_is_broadcast(spark):
+    photos = spark.createDataFrame([("/r", f"{k}.jpg", f"{k}.jpg", None, f"/r/{k}.jpg", k) for k in range(3)], PHOTO)
+    got = renames.renamed(photos, spark.createDataFrame([(1, "/r", "2.jpg", "3.jpg"), (2, "/r", "1.jpg", "2.jpg")], ITEM))
+    assert {(r.n, r.id) for r in got.photos.collect()} == {(0, "0.jpg"), (1, "2.jpg"), (2, "3.jpg")}
+    plan = got.photos._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
