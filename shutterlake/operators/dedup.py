@@ -40,6 +40,8 @@ def from_hex(rows: DataFrame) -> DataFrame:
 
 #: Bands that a hash is cut into for the search of near ones.
 BANDS = 4
+#: Rows of keys that a task sorts on each side (on average).
+KEY_ROWS = 200_000
 
 
 def bands(c: Column, bits: int) -> Column:
@@ -69,12 +71,15 @@ def classes(rows: DataFrame) -> DataFrame:
 def class_links(found: DataFrame, phash_bits: int = PHASH_BITS, dhash_bits: int = DHASH_BITS) -> DataFrame:
     """Pairs a < b of representatives of ``classes`` with either hash within reach: a, b, pd, dd. Candidates share a band's value.
 
-    Keys are many times the rows that they come from, which Spark's sizes don't show;
-    the hint keeps them from being collected and broadcast.
+    Keys are many times the rows that they come from, which Spark's sizes don't show:
+    the hint keeps them from being collected and broadcast, and as their shuffle packs
+    to some two bytes a row, partitions follow from their number and not from bytes.
     """
-    near = []
+    near, spark, most = [], found.sparkSession, found.count()
     for name, bits in (("phash", phash_bits), ("dhash", dhash_bits)):
-        one = found.where(F.col(name).isNotNull()).select(F.col("rep").alias("a"), "phash", "dhash", F.explode(bands(F.col(name), bits)).alias("key"))
+        each = BANDS * (1 + 64 // BANDS * (bits >= BANDS))
+        parts = max(spark.sparkContext.defaultParallelism, -(-most * each // KEY_ROWS))
+        one = found.where(F.col(name).isNotNull()).select(F.col("rep").alias("a"), "phash", "dhash", F.explode(bands(F.col(name), bits)).alias("key")).repartition(parts, "key")
         other = one.select(F.col("a").alias("b"), F.col("phash").alias("p2"), F.col("dhash").alias("d2"), "key")
         reach = hamming(F.col(name), F.col("p2" if name == "phash" else "d2")) <= bits
         near.append(one.join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & reach).select("a", "b", hamming(F.col("phash"), F.col("p2")).alias("pd"), hamming(F.col("dhash"), F.col("d2")).alias("dd")))
