@@ -83,7 +83,7 @@ class Ids(dict):
     are those of its chunks in order.
     """
 
-    def __init__(self, model: str, end: int, limit: int = 300_000):
+    def __init__(self, model: str, end: int, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         super().__init__()

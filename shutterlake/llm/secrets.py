@@ -25,6 +25,7 @@ from operator import getitem, itemgetter
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import give_back
 from .pii import searched
 
 BASE = ("assign", "access", "hex")
@@ -380,5 +381,7 @@ def redacted(docs: DataFrame, scanner: Scanner | None = None, label: str = "[{ki
                 kept = zip(texts, new, batch.column("n_chars").to_pylist(), strict=True)
                 columns["n_chars"] = pa.array([n if a == b else len(b) for a, b, n in kept], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], schema=batch.schema)
+        texts = new = columns = kept = None
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -1,4 +1,6 @@
+import os
 import random
+from pathlib import Path
 
 import pytest
 
@@ -100,3 +102,41 @@ def test_repeated_labelled_rows_are_learned_once_and_the_same_way(spark):
     often = spark.createDataFrame([rows[0]] * 500 + rows[::-1], "doc_id long, text string").repartition(5)
     one, two = (toxicity.train(d, labels, F.lit(True)) for d in (once, often))
     assert (one.terms, one.exceptions, one.curve) == (two.terms, two.exceptions, two.curve) and " vile " in one.terms or " vile" in one.terms
+
+
+HELD = """
+import re
+from pathlib import Path
+import pyarrow as pa
+from shutterlake.llm.common import by_batch
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+stays, at_work = [], []
+
+def build():
+    cache = {}
+    def work(batch):
+        cache.update((i, bytes(600)) for i in range(200_000))
+        stays.append(bytes(1000))  # lies behind the cache
+        at_work.append(mb())
+        return {"x": batch.column("x")}
+    return work
+
+one = pa.RecordBatch.from_pydict({"x": [1]})
+before = mb()
+assert len(list(by_batch(build, {"x": pa.int64()})([one]))) == 1
+print(at_work[0] - before, mb() - before)
+"""
+
+
+def test_an_idle_worker_holds_no_cache():
+    import subprocess
+    import sys
+
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout
+    at_work, after = map(float, out.split())
+    assert at_work > 120 and after < 30
